@@ -22,6 +22,81 @@ LATIN_EXTENDED_LETTER = "LATIN_EXTENDED_LETTER"  # letters U+00C0-U+00FF
 LATIN_1_PUNCTUATION = "LATIN_1_PUNCTUATION"      # other U+0080-U+00FF
 
 _JVM_BLOCK_CLASS = "java.lang.Character$UnicodeBlock"
+_STEP = 16            # standard blocks start at multiples of 16
+_DENSE_LIMIT = 0x20000  # planes 0-1 by direct index, higher planes by ranges
+_TABLE: dict = {}
+
+
+def _jvm_block_ranges(spark) -> list[tuple[int, int, str | None]]:
+    """(start, end_exclusive, name) of the JVM's Unicode blocks.
+
+    Computed once per process by a small Spark job (69,632 rows, one per
+    16-code-point chunk); ``reflect`` is kept out of the per-character
+    expressions because Spark treats it as non-deterministic.
+    """
+    if "ranges" not in _TABLE:
+        rows = (spark.range(0, 0x110000 // _STEP)
+                .select("id", F.reflect(F.lit(_JVM_BLOCK_CLASS), F.lit("of"),
+                                        (F.col("id") * _STEP).cast("int")).alias("b"))
+                .orderBy("id").collect())
+        ranges: list = []
+        for r in rows:
+            start, name = r["id"] * _STEP, r["b"]
+            if ranges and ranges[-1][2] == name:
+                ranges[-1][1] = start + _STEP
+            else:
+                ranges.append([start, start + _STEP, name])
+        _TABLE["ranges"] = [tuple(x) for x in ranges]
+    return _TABLE["ranges"]
+
+
+def _high_block(cp: Column) -> Column:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    ranges = _jvm_block_ranges(spark)
+    names = sorted({n for _, _, n in ranges if n is not None})
+    pos = {n: i + 1 for i, n in enumerate(names)}
+    dense = []
+    for start, end, name in ranges:
+        if start >= _DENSE_LIMIT:
+            break
+        dense.extend([pos.get(name, 0)] * ((min(end, _DENSE_LIMIT) - start) // _STEP))
+    # both arrays are built from one string literal each and constant-folded
+    idx = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<int>")
+    name_arr = F.split(F.lit(",".join(names)), ",")
+    k = F.element_at(idx, (cp / _STEP).cast("int") + 1)
+    dense_block = F.when(k > 0, F.element_at(name_arr, k))
+    sparse = None
+    for start, end, name in ranges:
+        if start < _DENSE_LIMIT or name is None:
+            continue
+        cond = (cp >= start) & (cp < end)
+        sparse = F.when(cond, F.lit(name)) if sparse is None else sparse.when(cond, F.lit(name))
+    return F.when(cp < _DENSE_LIMIT, dense_block).otherwise(sparse)
+
+
+def low_block_name(cp: int) -> str:
+    """Block rule below U+0100 (the fixed names above)."""
+    if cp == 32:
+        return SPACE
+    if 65 <= cp <= 90 or 97 <= cp <= 122:
+        return BASIC_LATIN
+    if 48 <= cp <= 57:
+        return DIGIT
+    if cp < 128:
+        return BASIC_PUNCTUATION
+    if 192 <= cp <= 255 and cp not in (215, 247):
+        return LATIN_EXTENDED_LETTER
+    return LATIN_1_PUNCTUATION
+
+
+LOW_BLOCKS = [SPACE, BASIC_LATIN, DIGIT, BASIC_PUNCTUATION, LATIN_EXTENDED_LETTER,
+              LATIN_1_PUNCTUATION]
+
+
+def high_block(cp: Column) -> Column:
+    """Block name of a code point >= U+0100 (null outside any block)."""
+    return _high_block(cp)
 
 
 def codepoint(c: Column) -> Column:
@@ -37,7 +112,7 @@ def block_of_codepoint(cp: Column) -> Column:
         .when(cp < 128, F.lit(BASIC_PUNCTUATION))
         .when((cp >= 192) & (cp <= 255) & (cp != 215) & (cp != 247), F.lit(LATIN_EXTENDED_LETTER))
         .when(cp < 256, F.lit(LATIN_1_PUNCTUATION))
-        .otherwise(F.reflect(F.lit(_JVM_BLOCK_CLASS), F.lit("of"), cp))
+        .otherwise(_high_block(cp))
     )
 
 

@@ -25,7 +25,7 @@ VOTE_METHODS = ("majority_vote", "all", "any", "baseline")
 
 def with_blocks(names: DataFrame, alias: str = ALIAS) -> DataFrame:
     """D3/D4/D5 columns of the default analyzer (no strip, punctuation kept)."""
-    return names.withColumn("_seq", S.block_sequence(F.col(alias)))
+    return names.withColumn("_blocks", S.block_entries(F.col(alias)))
 
 
 def language_prototype(names: DataFrame, lang: str = LANG, alias: str = ALIAS) -> DataFrame:
@@ -113,9 +113,9 @@ def tag_names(names: DataFrame, method: str = "majority_vote", critical: float =
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
                        F.col("expected_block"), F.col("prototype"), critical)
-    j = (j.withColumn("_seq", S.block_sequence(F.col(alias)))
-         .withColumn("_hist", S.histogram_of_sequence(F.col("_seq")))
-         .withColumn("_block", S.mode_of_sequence(F.col("_seq"))))
+    j = (j.withColumn("_seq", S.block_entries(F.col(alias)))
+         .withColumn("_hist", S.histogram_of_entries(F.col("_seq")))
+         .withColumn("_block", S.mode_of_entries(F.col("_seq"))))
     votes = [_vote(t) for t in tags.values()]
     out = j.withColumn("anomalous", aggregate_votes(votes, method, compat))
     if keep_votes:
@@ -185,13 +185,15 @@ def script_entropy(names: DataFrame, lookup: DataFrame | None = None, lang: str
     names without any counted character have no script and are left out.
     """
     from .clean import add_language_name
-    scripts = (names.select(lang, S.most_common_block(F.col(alias), strip=strip).alias("script"))
-               .filter(F.col("script") != ""))
+    scripts = names.select(lang, S.most_common_block(F.col(alias), strip=strip).alias("script"))
     if lookup is not None:
         scripts = add_language_name(scripts, lookup, lang, "_long")
     else:
         scripts = scripts.withColumn("_long", F.col(lang))
     counts = scripts.groupBy(lang, "_long", "script").agg(F.count(F.lit(1)).alias("n"))
+    # names without script are dropped after the aggregate (a filter before it
+    # would be pushed under the projection and evaluate the script twice)
+    counts = counts.withColumn("n", F.when(F.col("script") != "", F.col("n")))
     ent = entropy_of_counts(counts, [lang, "_long"], base=2.0, out="_e")
     return (ent.select(F.col(lang).alias("language_code"), F.col("_long").alias("language"),
                        F.round(F.col("_e") + F.lit(0.0), digits).alias("script_entropy"))
@@ -234,7 +236,7 @@ def describe(df: DataFrame, col: str, exact: bool = True, digits: int = 6) -> Da
 def script_purity(names: DataFrame, by: Sequence[str] = (LANG, TYPE),
                   alias: str = ALIAS, digits: int = 6) -> DataFrame:
     """Share of names written in exactly one block, per group."""
-    single = F.size(F.array_distinct(S.block_sequence(F.col(alias)))) == 1
+    single = F.size(S.block_entries(F.col(alias))) == 1
     agg = names.groupBy(*by).agg(F.sum(single.cast("long")).alias("n_pure"),
                                  F.count(F.lit(1)).alias("n_tot"))
     purity = F.col("n_pure") / F.col("n_tot")

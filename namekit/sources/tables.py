@@ -29,10 +29,15 @@ def names_from_documents(documents: DataFrame, with_position: bool = False) -> D
     number (so an entity with several lines carries several types, the input
     of type disambiguation).
     """
-    lines = F.split(F.col("text"), "\n")
-    exploded = documents.select(
-        "doc_id", "lang", F.element_at(lines, 1).alias("eng"),
-        F.posexplode(lines).alias("line_no", "alias"))
+    # the first line is taken before the explode, so it is cut out once per
+    # document and not once per line
+    docs = documents.select("doc_id", "lang", F.split(F.col("text"), "\n").alias("_lines"))
+    docs = docs.select("doc_id", "lang", "_lines", F.element_at("_lines", 1).alias("eng"))
+    # outer explode: no inferred size/null filters that would split the whole
+    # text again; a null text gives one null row, removed right after
+    exploded = (docs.select("doc_id", "lang", "eng",
+                            F.posexplode_outer("_lines").alias("line_no", "alias"))
+                .filter(F.col("line_no").isNotNull()))
     out = exploded.select(
         F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("wikidata_id"),
         "eng", "alias", F.col("lang").alias("language"),
