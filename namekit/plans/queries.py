@@ -4,8 +4,6 @@ driver tables of a scale-factor folder; the matching DuckDB SQL is the oracle.
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +13,7 @@ from ..operators import script as D
 from ..plans import oracle as O
 from ..sources import tables as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
+from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 
 def language_lookup(spark: SparkSession) -> DataFrame:
@@ -69,3 +57,6 @@ GROUP BY p.language, l.name
 """)
 def q_script_entropy(spark, sf_dir):
     return D.script_entropy(cleaned_names(spark, sf_dir), language_lookup(spark))
+
+
+from . import q_basic  # noqa: E402,F401
