@@ -109,7 +109,7 @@ def tag_names(names: DataFrame, method: str = "majority_vote", critical: float =
               compat: bool = False) -> DataFrame:
     """Names + ``anomalous`` from five per-language taggers."""
     stats = expected_block(names, lang, alias).join(
-        language_prototype(names, lang, alias), on=lang, how="inner")
+        language_prototype(names, lang, alias), on=lang, how="left")
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
                        F.col("expected_block"), F.col("prototype"), critical)
@@ -146,17 +146,50 @@ def apply_script_allowlist(names: DataFrame, allow: DataFrame, lang: str = LANG,
             j.filter(~F.col("_valid")).select(*cols))
 
 
+def standardize_script_flagged(names: DataFrame, allow: DataFrame,
+                               method: str = "majority_vote", critical: float = 0.1,
+                               lang: str = LANG, alias: str = ALIAS) -> DataFrame:
+    """D17 in one pass: names + ``kept`` flag.
+
+    Listed languages keep names whose script is allowed; unlisted languages
+    go through the voting taggers (their statistics only involve their own
+    rows, so they are computed per language over the unlisted rows).
+    """
+    a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
+    j = names.join(F.broadcast(a), F.col(lang) == F.col("_lc"), "left")
+    if method == "baseline":
+        anomalous = F.lit(False)
+        tagged = j
+    else:
+        unlisted = names.join(F.broadcast(a.select(F.col("_lc").alias(lang))), on=lang, how="left_anti")
+        stats = expected_block(unlisted, lang, alias).join(
+            language_prototype(unlisted, lang, alias), on=lang, how="left")
+        tagged = j.join(stats, on=lang, how="left")
+        tagged = (tagged.withColumn("_seq", S.block_entries(F.col(alias)))
+                  .withColumn("_hist", S.histogram_of_entries(F.col("_seq")))
+                  .withColumn("_block", S.mode_of_entries(F.col("_seq"))))
+        tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
+                           F.col("expected_block"), F.col("prototype"), critical)
+        anomalous = aggregate_votes([_vote(t) for t in tags.values()], method)
+    if "_block" not in tagged.columns:
+        tagged = tagged.withColumn("_block", S.most_common_block(F.col(alias)))
+    listed_ok = F.array_contains(F.col("_scripts"), F.col("_block"))
+    kept = F.when(F.col("_lc").isNotNull(), listed_ok).otherwise(~anomalous)
+    return tagged.withColumn("kept", kept).select(*names.columns, "kept")
+
+
 def standardize_script(names: DataFrame, allow: DataFrame, method: str = "majority_vote",
                        critical: float = 0.1, lang: str = LANG,
                        alias: str = ALIAS) -> tuple[DataFrame, DataFrame]:
-    """Allow-list first, voting taggers on the unlisted languages."""
-    listed, unlisted, filtered = apply_script_allowlist(names, allow, lang, alias)
-    if method == "baseline":
-        return listed.unionByName(unlisted), filtered
-    tagged = tag_names(unlisted, method, critical, lang, alias)
-    kept, flagged = split_tagged(tagged)
-    return (listed.unionByName(kept.drop("anomalous")),
-            filtered.unionByName(flagged.drop("anomalous")))
+    """Allow-list first, voting taggers on the unlisted languages.
+
+    Returns (names, filtered); both are filters of one flagged plan, so a
+    caller writing both should persist or write it once partitioned by
+    ``kept``.
+    """
+    flagged = standardize_script_flagged(names, allow, method, critical, lang, alias)
+    return (flagged.filter(F.col("kept")).drop("kept"),
+            flagged.filter(~F.col("kept")).drop("kept"))
 
 
 def script_counts(names: DataFrame, by: Sequence[str] = (LANG, TYPE),
