@@ -57,3 +57,34 @@ LANGUAGE_NAMES = {"en": "English", "fr": "French", "de": "German", "es": "Spanis
 def language_lookup_sql(name: str = "lookup") -> str:
     rows = ", ".join(f"('{k}', '{v}')" for k, v in LANGUAGE_NAMES.items())
     return f"{name}(code, name) AS (VALUES {rows})"
+
+
+def tokens(x: str) -> str:
+    """Python ``str.split()`` as DuckDB SQL."""
+    s = strip(x)
+    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, '{WS}+') END)"
+
+
+# Levenshtein in DuckDB counts bytes; renaming every non-ASCII letter of the
+# test texts to its own control character (an injective renaming) makes it
+# count characters, as Spark does.
+SAFE_FROM = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüàâëîïôù"
+SAFE_CODES = [c for c in range(1, 32) if c not in (9, 10, 13)]
+
+
+def safe(x: str) -> str:
+    to = " || ".join(f"chr({c})" for c in SAFE_CODES[:len(SAFE_FROM)])
+    return f"translate({x}, '{SAFE_FROM}', {to})"
+
+
+def perm_values(name: str = "perm") -> str:
+    import itertools
+    rows = ["(0, 0, []::INTEGER[])", "(1, 0, [1])"]
+    for n in (2, 3, 4):
+        for k, p in enumerate(itertools.permutations(range(1, n + 1))):
+            rows.append(f"({n}, {k}, {list(p)})")
+    return f"{name}(n, k, idx) AS (VALUES {', '.join(rows)})"
+
+
+def fact(x: str) -> str:
+    return f"(CASE WHEN {x} <= 1 THEN 1 WHEN {x} = 2 THEN 2 WHEN {x} = 3 THEN 6 ELSE 24 END)"
