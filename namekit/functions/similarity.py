@@ -60,11 +60,15 @@ def minhash_jaccard(a, b, num_perm: int = NUM_PERM) -> Column:
     is a few hundred multiply-adds, far cheaper in numpy than as nested
     higher-order functions.
     """
-    return _minhash_udf(_c(a), _c(b), F.lit(num_perm))
+    if "udf" not in _UDF:
+        _UDF["udf"] = F.pandas_udf(_minhash_batch, "double")
+    return _UDF["udf"](_c(a), _c(b), F.lit(num_perm))
 
 
-@F.pandas_udf("double")
-def _minhash_udf(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.Series:
+_UDF: dict = {}
+
+
+def _minhash_batch(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.Series:
     import numpy as np
     num_perm = int(k.iloc[0]) if len(k) else NUM_PERM
     pa, pb = _permutations(num_perm)
