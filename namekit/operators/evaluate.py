@@ -152,9 +152,15 @@ def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = Tr
     per = row.groupBy(LANG).agg(*agg)
     glob = row.agg(*agg).withColumn(LANG, F.lit("global"))
     basic = per.unionByName(glob)
-    b_per = corpus_bleu(outputs, [LANG])
-    b_glob = corpus_bleu(outputs.withColumn(LANG, F.lit("global")), [LANG])
-    out = basic.join(b_per.unionByName(b_glob), on=LANG, how="left")
+    # BLEU sufficient statistics are additive: the global row sums the
+    # per-language ones instead of a second n-gram pass
+    stats, lens = bleu_stats(outputs, [LANG])
+    stats = stats.unionByName(stats.groupBy("n").agg(F.sum("correct").alias("correct"),
+                                                     F.sum("total").alias("total"))
+                              .withColumn(LANG, F.lit("global")))
+    lens = lens.unionByName(lens.agg(F.sum("hyp_len").alias("hyp_len"), F.sum("ref_len").alias("ref_len"))
+                            .withColumn(LANG, F.lit("global")))
+    out = basic.join(bleu_from_stats(stats, lens, [LANG]), on=LANG, how="left")
     r = lambda c: F.round(c, digits)
     return out.select(LANG, r(F.col("label_error_rate")).alias("label_error_rate"),
                       r(F.col("word_acc")).alias("word_acc"), r(100 - F.col("word_acc")).alias("word_err"),
