@@ -72,16 +72,17 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
     from ..session import checkpoint_dir
     checkpoint_dir(roots.sparkSession)
     e = edges.select("child", "parent").distinct()
-    closure = roots.select("type", F.col("root").alias("class")).distinct().checkpoint()
-    frontier = closure
+    level = roots.select("type", F.col("root").alias("class")).distinct().checkpoint()
+    closure = level
     for _ in range(max_iterations):
-        nxt = (frontier.join(e, frontier["class"] == e["parent"])
-               .select("type", F.col("child").alias("class")).distinct()
-               .join(closure, on=["type", "class"], how="left_anti")).checkpoint()
-        if nxt.isEmpty():
+        # one reliable checkpoint per level; the closure is a union of
+        # checkpointed levels, so its lineage stays flat
+        level = (level.join(e, level["class"] == e["parent"])
+                 .select("type", F.col("child").alias("class")).distinct()
+                 .join(closure, on=["type", "class"], how="left_anti")).checkpoint()
+        if level.isEmpty():
             break
-        closure = closure.unionByName(nxt).checkpoint()
-        frontier = nxt
+        closure = closure.unionByName(level)
     return closure
 
 

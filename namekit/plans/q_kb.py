@@ -208,3 +208,28 @@ def q_b17(spark, d):
                F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))))
     del e
     return B.upsert_entities(s.select("id", "name"), upd)
+
+
+# ------------------------------------------------------------------ pipelines
+PIPE_ALLOW = [("en", ["BASIC_LATIN"])]
+
+
+@register("pipeline_resource")
+def q_pipeline_resource(spark, d):
+    from .pipeline import build_resource
+    allow = spark.createDataFrame(PIPE_ALLOW, "language_code string, scripts array<string>")
+    return build_resource(spark, d, allow)
+
+
+@register("pipeline_crossing_experiment")
+def q_pipeline_crossing(spark, d):
+    from .pipeline import crossing_experiment
+    return crossing_experiment(spark, d)
+
+
+@register("f2_align_characters")
+def q_f2(spark, d):
+    from ..operators import align as FA
+    from .pipeline import typed_names
+    n = typed_names(spark, d).select("alias", F.col("name").alias("eng"))
+    return FA.align_characters(n, iterations=5)
