@@ -59,4 +59,4 @@ def q_script_entropy(spark, sf_dir):
     return D.script_entropy(cleaned_names(spark, sf_dir), language_lookup(spark))
 
 
-from . import q_basic, q_eval, q_kb, q_names, q_script  # noqa: E402,F401
+from . import q_basic, q_eval, q_io, q_kb, q_names, q_script  # noqa: E402,F401
