@@ -61,8 +61,10 @@ def is_number(c) -> Column:
 
 
 def characters(text) -> Column:
-    """Code points of a string as an array of one-character strings."""
-    return F.filter(F.split(_c(text), ""), lambda ch: ch != "")
+    """Code points of a string as an array of one-character strings (split
+    on the empty pattern gives [''] only for the empty string)."""
+    t = _c(text)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
 
 def _let(value: Column, fn) -> Column:

@@ -29,16 +29,21 @@ def na_to_null(c) -> Column:
     return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
+# the same white space as a character list, for Spark's trim(BOTH chars FROM s)
+WS_CHARS = ("".join(chr(c) for c in range(0x09, 0x0e)) + "".join(chr(c) for c in range(0x1c, 0x21))
+            + "\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def unicode_strip(c) -> Column:
-    """Python ``str.strip()``: all Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    """Python ``str.strip()``: all Unicode white space at both ends (a plain
+    trim with an explicit character set, no regex)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def strip_chars(c, chars: str) -> Column:
-    """Python ``str.strip(chars)`` for a literal set of ASCII characters."""
-    import re
-    cls = "[" + re.escape(chars) + "]"
-    return F.regexp_replace(_c(c), f"^{cls}+|{cls}+$", "")
+    """Python ``str.strip(chars)``."""
+    return F.trim(_c(c), F.lit(chars))
 
 
 def strip_parenthesis(c) -> Column:

@@ -7,6 +7,7 @@ grouped aggregate; ``metrics_by_language`` computes all languages and the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,62 +85,68 @@ def _ngrams(toks: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def bleu_stats(outputs: DataFrame, keys: list[str] | None = None, max_n: int = 4) -> DataFrame:
-    """Per row and n: clipped matches and hypothesis n-gram totals, plus lengths."""
+def _bleu_row_batch(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Per row: clipped n-gram matches and hypothesis n-gram totals for
+    n = 1..4, plus token lengths (whitespace tokens, as ``str.split``)."""
+    from collections import Counter
+    out = {f"{k}{n}": [] for n in range(1, 5) for k in ("c", "t")}
+    out["hyp_len"], out["ref_len"] = [], []
+    for r, h in zip(ref, hyp):
+        rt = (r or "").split()
+        ht = (h or "").split()
+        for n in range(1, 5):
+            hc = Counter(zip(*[ht[i:] for i in range(n)]))
+            rc = Counter(zip(*[rt[i:] for i in range(n)]))
+            out[f"c{n}"].append(sum(min(v, rc[g]) for g, v in hc.items() if g in rc))
+            out[f"t{n}"].append(max(len(ht) - n + 1, 0))
+        out["hyp_len"].append(len(ht))
+        out["ref_len"].append(len(rt))
+    return pd.DataFrame(out)
+
+
+_BLEU_ROW_TYPE = ", ".join(f"{k}{n} long" for n in range(1, 5) for k in ("c", "t")) + ", hyp_len long, ref_len long"
+_UDFS: dict = {}
+
+
+def bleu_row_stats(ref, hyp) -> Column:
+    """Struct of per-row BLEU sufficient statistics. Counting n-grams of one
+    row is local work: a vectorised pandas UDF does it inside the task, so no
+    n-gram is ever shuffled; the corpus statistics are plain sums."""
+    if "bleu" not in _UDFS:
+        _UDFS["bleu"] = F.pandas_udf(_bleu_row_batch, _BLEU_ROW_TYPE)
+    return _UDFS["bleu"](_c(ref), _c(hyp))
+
+
+_BLEU_SUMS = [f"{k}{n}" for n in range(1, 5) for k in ("c", "t")] + ["hyp_len", "ref_len"]
+
+
+def bleu_stats(outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per group: summed clipped matches c1..c4, totals t1..t4 and lengths."""
     keys = keys or []
-    # deterministic row key (96 bits of hash); identical rows may share it,
-    # which leaves clipped counts unchanged (both sides scale equally)
-    cols = [F.col(c) for c in (*keys, REF, HYP)]
-    o = outputs.withColumn("_rid", F.struct(F.xxhash64(*cols), F.hash(*cols)))
-    o = o.select(*keys, "_rid", tokens(F.col(REF)).alias("_rt"), tokens(F.col(HYP)).alias("_ht"))
-    per_n = []
-    for n in range(1, max_n + 1):
-        h = o.select(*keys, "_rid", F.lit(n).alias("n"), F.explode(_ngrams(F.col("_ht"), n)).alias("g"))
-        r = o.select("_rid", F.lit(n).alias("n"), F.explode(_ngrams(F.col("_rt"), n)).alias("g"))
-        hc = h.groupBy(*keys, "_rid", "n", "g").agg(F.count(F.lit(1)).alias("ch"))
-        rc = r.groupBy("_rid", "n", "g").agg(F.count(F.lit(1)).alias("cr"))
-        m = hc.join(rc, on=["_rid", "n", "g"], how="left")
-        per_n.append(m.groupBy(*keys, "n").agg(
-            F.sum(F.least(F.col("ch"), F.coalesce(F.col("cr"), F.lit(0)))).alias("correct"),
-            F.sum("ch").alias("total")))
-    stats = per_n[0]
-    for s in per_n[1:]:
-        stats = stats.unionByName(s)
-    lens = o.groupBy(*keys).agg(F.sum(F.size("_ht")).alias("hyp_len"), F.sum(F.size("_rt")).alias("ref_len"))
-    return stats, lens
-
-
-def bleu_from_stats(stats: DataFrame, lens: DataFrame, keys: list[str] | None = None,
-                    max_n: int = 4) -> DataFrame:
+    rs = outputs.select(*keys, bleu_row_stats(REF, HYP).alias("s"))
+    return rs.groupBy(*keys).agg(*[F.sum(f"s.{c}").alias(c) for c in _BLEU_SUMS])
+
+
+def bleu_from_stats(sums: DataFrame, keys: list[str] | None = None, max_n: int = 4) -> DataFrame:
     """Corpus BLEU (0-100) with brevity penalty and exponential smoothing of
-    zero n-gram precisions."""
+    zero n-gram precisions (the k-th zero precision becomes 1 / (2^k total))."""
     keys = keys or []
-    wide = stats.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}")
-        for n in range(1, max_n + 1) for c in ("correct", "total")])
-    if keys:
-        j = lens.join(wide, on=keys, how="left")
-    else:
-        # global: both sides are single rows, joined on a constant key
-        j = lens.withColumn("_k", F.lit(1)).join(wide.withColumn("_k", F.lit(1)), on="_k").drop("_k")
-    expr_logs = []
+    logs = []
     k = F.lit(0)
     for n in range(1, max_n + 1):
-        c, t = F.coalesce(F.col(f"correct{n}"), F.lit(0)), F.coalesce(F.col(f"total{n}"), F.lit(0))
+        c, t = F.coalesce(F.col(f"c{n}"), F.lit(0)), F.coalesce(F.col(f"t{n}"), F.lit(0))
         k = k + F.when((c == 0) & (t > 0), 1).otherwise(0)
         p = F.when(t == 0, F.lit(None)).when(c == 0, 1.0 / (F.pow(F.lit(2.0), k) * t)).otherwise(c / t)
-        expr_logs.append(F.log(p))
-    mean_log = sum(expr_logs) / max_n
-    bp = F.when(F.col("hyp_len") == 0, F.lit(0.0)).when(
-        F.col("hyp_len") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(1.0)
-    bleu = F.coalesce(100 * bp * F.exp(mean_log), F.lit(0.0))
-    return j.select(*keys, bleu.alias("bleu"))
+        logs.append(F.log(p))
+    mean_log = sum(logs) / max_n
+    hl, rl = F.col("hyp_len"), F.col("ref_len")
+    bp = F.when(hl == 0, F.lit(0.0)).when(hl < rl, F.exp(1 - rl / hl)).otherwise(1.0)
+    return sums.select(*keys, F.coalesce(100 * bp * F.exp(mean_log), F.lit(0.0)).alias("bleu"))
 
 
 def corpus_bleu(outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """K4: corpus BLEU (whitespace tokens, 4-grams) per ``keys`` group."""
-    stats, lens = bleu_stats(outputs, keys)
-    return bleu_from_stats(stats, lens, keys)
+    return bleu_from_stats(bleu_stats(outputs, keys), keys)
 
 
 def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = True) -> DataFrame:
@@ -154,13 +161,9 @@ def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = Tr
     basic = per.unionByName(glob)
     # BLEU sufficient statistics are additive: the global row sums the
     # per-language ones instead of a second n-gram pass
-    stats, lens = bleu_stats(outputs, [LANG])
-    stats = stats.unionByName(stats.groupBy("n").agg(F.sum("correct").alias("correct"),
-                                                     F.sum("total").alias("total"))
-                              .withColumn(LANG, F.lit("global")))
-    lens = lens.unionByName(lens.agg(F.sum("hyp_len").alias("hyp_len"), F.sum("ref_len").alias("ref_len"))
-                            .withColumn(LANG, F.lit("global")))
-    out = basic.join(bleu_from_stats(stats, lens, [LANG]), on=LANG, how="left")
+    sums = bleu_stats(outputs, [LANG])
+    sums = sums.unionByName(sums.agg(*[F.sum(c).alias(c) for c in _BLEU_SUMS]).withColumn(LANG, F.lit("global")))
+    out = basic.join(bleu_from_stats(sums, [LANG]), on=LANG, how="left")
     r = lambda c: F.round(c, digits)
     return out.select(LANG, r(F.col("label_error_rate")).alias("label_error_rate"),
                       r(F.col("word_acc")).alias("word_acc"), r(100 - F.col("word_acc")).alias("word_err"),

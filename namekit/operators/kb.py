@@ -76,7 +76,7 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
     closure = level
     for _ in range(max_iterations):
         # one reliable checkpoint per level; the closure is a union of
-        # checkpointed levels, so its lineage stays flat
+        # checkpointed levels, so its plan and lineage stay flat
         level = (level.join(e, level["class"] == e["parent"])
                  .select("type", F.col("child").alias("class")).distinct()
                  .join(closure, on=["type", "class"], how="left_anti")).checkpoint()

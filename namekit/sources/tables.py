@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster's cores when the source scan produced
+    fewer partitions than that (e.g. one unsplittable file). Only planning is
+    needed to decide; a large, well-split input is left untouched, so no
+    shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def names_from_documents(documents: DataFrame, with_position: bool = False) -> DataFrame:
     """One name row per document line.
 
@@ -45,6 +56,7 @@ def names_from_documents(documents: DataFrame, with_position: bool = False) -> D
                      F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(3)).cast("int") + 1
                      ).alias("type"),
         "doc_id", "line_no")
+    out = ensure_parallelism(out)
     if not with_position:
         out = out.drop("doc_id", "line_no")
     return out
