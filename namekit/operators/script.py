@@ -64,7 +64,7 @@ def _vote(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0)).when(c, F.lit(1)).otherwise(F.lit(-1))
 
 
-def aggregate_votes(votes: Sequence[Column], method: str = "majority_vote",
+def aggregate_votes(votes: Sequence[Column], method="majority_vote",
                     compat: bool = False) -> Column:
     """Combine +1/-1/0 votes into one anomalous flag.
 
@@ -72,6 +72,8 @@ def aggregate_votes(votes: Sequence[Column], method: str = "majority_vote",
     non-abstaining vote says anomalous); ``compat=True`` keeps the original
     truthiness (-1 counts as true).
     """
+    if callable(method):                       # custom aggregator over the vote array
+        return method(F.array(*votes))
     total = votes[0]
     for v in votes[1:]:
         total = total + v
@@ -104,15 +106,21 @@ def tag_columns(hist: Column, block: Column, language: Column, expected: Column,
     }
 
 
-def tag_names(names: DataFrame, method: str = "majority_vote", critical: float = 0.1,
+def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
               lang: str = LANG, alias: str = ALIAS, keep_votes: bool = False,
-              compat: bool = False) -> DataFrame:
-    """Names + ``anomalous`` from five per-language taggers."""
+              compat: bool = False, extra_taggers: dict | None = None) -> DataFrame:
+    """Names + ``anomalous`` from five per-language taggers.
+
+    ``extra_taggers`` maps a name to a function ``DataFrame columns ->
+    nullable boolean Column`` (custom tagger; null = abstain); ``method`` may
+    be a function over the array of +1/-1/0 votes (custom aggregator)."""
     stats = expected_block(names, lang, alias).join(
         language_prototype(names, lang, alias), on=lang, how="left")
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
                        F.col("expected_block"), F.col("prototype"), critical)
+    for name, fn in (extra_taggers or {}).items():
+        tags[name] = fn(F.col(alias), F.col(lang))
     j = (j.withColumn("_seq", S.block_entries(F.col(alias)))
          .withColumn("_hist", S.histogram_of_entries(F.col("_seq")))
          .withColumn("_block", S.mode_of_entries(F.col("_seq"))))

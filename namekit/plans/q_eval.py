@@ -234,3 +234,16 @@ def q_k7(spark, d):
     fin = n.groupBy("language", "wikidata_id").agg(
         F.max(strip_parenthesis_permute_comma(F.col("eng"))).alias("alias"))
     return K.reorder_quality(gold, fin)
+
+
+@register("j16_f1_vs_train_size", O.with_names(_outputs_sql()) + f"""
+, f AS (SELECT language, round(100 * avg({_f1_sql('reference', 'hypothesis')}), 5) AS mean_f1
+        FROM outputs GROUP BY language)
+, c AS (SELECT language, count(*) AS n_train FROM names_all GROUP BY language)
+SELECT * FROM f JOIN c USING (language)""")
+def q_j16(spark, d):
+    from ..operators import report as J
+    o = _outputs(spark, d).withColumn("_f1", K.lcs_f1("reference", "hypothesis"))
+    f1 = o.groupBy("language").agg(F.round(100 * F.avg("_f1"), 5).alias("mean_f1"))
+    counts = J.counts_per_language(T.names(spark, d)).withColumnRenamed("count", "n_train")
+    return J.f1_vs_train_size(f1, counts)

@@ -263,3 +263,41 @@ def q_g3(spark, d):
 def q_g1(spark, d):
     return _pos(spark, d).select("doc_id", "line_no",
                                  G.minhash_jaccard(F.col("alias"), F.col("eng")).alias("jaccard_estimate"))
+
+
+@register("e10_anomaly_report", O.with_names(*__import__("namekit.plans.q_script", fromlist=["TAG_CTES"]).TAG_CTES) + """
+SELECT CASE WHEN v1 + v2 + v3 + v4 + v5 > 0 THEN 'anomalous' ELSE 'non_anomalous' END AS category,
+       v.wikidata_id, v.language, v.type, v.alias, coalesce(dm.block, '') AS most_common_unicode_block
+FROM votes v LEFT JOIN dmode dm ON dm.doc_id = v.doc_id AND dm.line_no = v.line_no""")
+def q_e10(spark, d):
+    from ..operators import script as D
+    return E.anomaly_report(D.tag_names(T.names(spark, d)))
+
+
+@register("e13_edit_distance", "WITH RECURSIVE " + __import__("namekit.plans.q_kb", fromlist=["ENTS_SQL"]).ENTS_SQL.strip() + f"""
+SELECT s.id AS wikidata_id, l.language, l.value AS alias, s.name,
+       levenshtein({O.safe('l.value')}, {O.safe('s.name')}) AS distance
+FROM simple s JOIN labels l USING (id)""")
+def q_e13(spark, d):
+    from ..operators import kb as B
+    from .pipeline import ingest
+    n = B.explode_names(ingest(spark, d), "NONE")
+    return n.select("wikidata_id", "language", "alias", "name",
+                    P.edit_distance(F.col("alias"), F.col("name")).alias("distance"))
+
+
+@register("f5_pooled_vs_separate")
+def q_f5(spark, d):
+    """F2 trained once on all languages and once per language; mean
+    crossings of both, joined per language."""
+    from .pipeline import typed_names
+    n = typed_names(spark, d).select("alias", F.col("name").alias("eng"), "language")
+    pooled = FA.align_characters(n.select("alias", "eng"), iterations=3)
+    sep = FA.align_characters(n, iterations=3, by="language")
+    jp = n.join(pooled.select("alias", "eng", A.crossing_count(F.col("alignment")).alias("n_cross")),
+                on=["alias", "eng"], how="left")
+    js = n.join(sep.select("language", "alias", "eng", A.crossing_count(F.col("alignment")).alias("n_cross")),
+                on=["language", "alias", "eng"], how="left")
+    a = FA.mean_crossing(jp).select("language", F.col("mean_crossing_alignments").alias("mca_pooled"))
+    b = FA.mean_crossing(js).select("language", F.col("mean_crossing_alignments").alias("mca_separate"))
+    return FA.join_results([a, b], "language")
