@@ -7,6 +7,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_side
+
 from ..functions.text import strip_parenthesis, unicode_strip
 
 ID, ENG, ALIAS, LANG, TYPE = "wikidata_id", "eng", "alias", "language", "type"
@@ -154,7 +156,7 @@ def add_language_name(df: DataFrame, lookup: DataFrame, code_col: str = LANG,
     broadcast.
     """
     lk = lookup.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
-    joined = df.join(F.broadcast(lk), F.col(code_col) == F.col("_code"), "left")
+    joined = df.join(small_side(lk), F.col(code_col) == F.col("_code"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_name"), F.col(code_col))).drop("_code", "_name")
 
 
@@ -163,7 +165,7 @@ def drop_flagged_languages(names: DataFrame, decisions: DataFrame,
     """Remove languages whose decision row says ``should_drop``."""
     flagged = (decisions.filter(F.col("should_drop"))
                .select(F.col("language_code").alias(lang_col)).distinct())
-    return names.join(F.broadcast(flagged), on=lang_col, how="left_anti")
+    return names.join(small_side(flagged), on=lang_col, how="left_anti")
 
 
 def distinct_aliases(names: DataFrame, col: str = ALIAS) -> DataFrame:

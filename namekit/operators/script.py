@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_side
+
 from ..functions import script as S
 
 ALIAS, LANG, TYPE, ID = "alias", "language", "type", "wikidata_id"
@@ -144,7 +146,7 @@ def apply_script_allowlist(names: DataFrame, allow: DataFrame, lang: str = LANG,
     ``allow`` is (language_code, scripts array<string>), one row per language.
     """
     a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
-    j = names.join(F.broadcast(a), F.col(lang) == F.col("_lc"), "left")
+    j = names.join(small_side(a), F.col(lang) == F.col("_lc"), "left")
     listed = F.col("_lc").isNotNull()
     valid = ~listed | F.array_contains(F.col("_scripts"), S.most_common_block(F.col(alias)))
     j = j.withColumn("_listed", listed).withColumn("_valid", valid).drop("_lc", "_scripts")
@@ -164,12 +166,12 @@ def standardize_script_flagged(names: DataFrame, allow: DataFrame,
     rows, so they are computed per language over the unlisted rows).
     """
     a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
-    j = names.join(F.broadcast(a), F.col(lang) == F.col("_lc"), "left")
+    j = names.join(small_side(a), F.col(lang) == F.col("_lc"), "left")
     if method == "baseline":
         anomalous = F.lit(False)
         tagged = j
     else:
-        unlisted = names.join(F.broadcast(a.select(F.col("_lc").alias(lang))), on=lang, how="left_anti")
+        unlisted = names.join(small_side(a.select(F.col("_lc").alias(lang))), on=lang, how="left_anti")
         stats = expected_block(unlisted, lang, alias).join(
             language_prototype(unlisted, lang, alias), on=lang, how="left")
         tagged = j.join(stats, on=lang, how="left")
