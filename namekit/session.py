@@ -43,13 +43,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) a fresh scratch folder is
     created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's checkpoint folder applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         known = sc._jsc.sc().getCheckpointDir()
         current = known.get() if known.isDefined() else None
     if not current:
+        # only when the session names no folder (local tests)
         import tempfile
         current = tempfile.mkdtemp(prefix="namekit-ckpt-")
-    sc.setCheckpointDir(current)
+    if not (sc._jsc.sc().getCheckpointDir().isDefined()):
+        sc.setCheckpointDir(current)
     return current

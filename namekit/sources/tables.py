@@ -26,9 +26,12 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     fewer partitions than that (e.g. one unsplittable file). Only planning is
     needed to decide; a large, well-split input is left untouched, so no
     shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # no SparkContext access (e.g. Spark Connect): keep the plan
+        pass
     return df
 
 
