@@ -16,3 +16,11 @@ def small_side(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
     small job over the lookup itself, never over the big side)."""
     n = lookup.limit(max_rows + 1).count()
     return F.broadcast(lookup) if n <= max_rows else lookup
+
+
+def with_global(df: DataFrame, key: str, aggs: list, label: str = "global") -> DataFrame:
+    """Per-``key`` aggregates plus one ``global`` row in a single GROUPING
+    SETS ((key), ()) aggregate (ROLLUP on one column)."""
+    g = df.rollup(key).agg(*aggs, F.grouping_id().alias("_gid"))
+    return (g.withColumn(key, F.when(F.col("_gid") == 1, F.lit(label)).otherwise(F.col(key)))
+            .drop("_gid"))

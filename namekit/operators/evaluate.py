@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .common import with_global
 
 LANG, REF, HYP = "language", "reference", "hypothesis"
 
@@ -156,9 +157,7 @@ def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = Tr
                          (label_error_rate(REF, HYP) if with_ler else F.lit(None).cast("double")).alias("_ler"))
     agg = [F.avg("_ler").alias("label_error_rate"), (100 * F.avg("_acc")).alias("word_acc"),
            (100 * F.avg("_f1")).alias("mean_f1")]
-    per = row.groupBy(LANG).agg(*agg)
-    glob = row.agg(*agg).withColumn(LANG, F.lit("global"))
-    basic = per.unionByName(glob)
+    basic = with_global(row, LANG, agg)
     # BLEU sufficient statistics are additive: the global row sums the
     # per-language ones instead of a second n-gram pass
     sums = bleu_stats(outputs, [LANG])
@@ -187,7 +186,7 @@ def filter_quality(gold: DataFrame, removed: DataFrame, key: str = "wikidata_id"
     t, p = F.col("should_remove"), F.col("_pred")
     agg = [F.sum((t & p).cast("long")).alias("tp"), F.sum((~t & p).cast("long")).alias("fp"),
            F.sum((t & ~p).cast("long")).alias("fn"), F.sum((~t & ~p).cast("long")).alias("tn")]
-    c = j.groupBy(LANG).agg(*agg).unionByName(j.agg(*agg).withColumn(LANG, F.lit("global")))
+    c = with_global(j, LANG, agg)
     acc, prec, rec, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
     r6 = lambda x: F.round(x, digits)
     return c.select(LANG, r6(acc).alias("accuracy"), r6(prec).alias("precision"),
@@ -203,4 +202,4 @@ def reorder_quality(gold: DataFrame, final: DataFrame, key: str = "wikidata_id",
     j = g.join(f, on=[LANG, key], how="inner")
     agg = [F.round(100 * F.avg(word_accuracy(REF, HYP)), digits).alias("accuracy"),
            F.round(100 * F.avg(lcs_f1(REF, HYP)), digits).alias("mean_f1")]
-    return j.groupBy(LANG).agg(*agg).unionByName(j.agg(*agg).withColumn(LANG, F.lit("global")))
+    return with_global(j, LANG, agg)

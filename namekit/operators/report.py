@@ -11,7 +11,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import small_side, with_global
 
 ID, ENG, ALIAS, LANG, TYPE = "wikidata_id", "eng", "alias", "language", "type"
 TYPE_ORDER = ["LOC", "ORG", "PER"]
@@ -44,10 +44,9 @@ def english_match(names: DataFrame, per_language: bool = True) -> DataFrame:
     eq = (F.col(ALIAS) == F.col(ENG)).cast("long")
     aggs = [F.sum(eq).alias("n_equal"), F.count(F.lit(1)).alias("n_rows"),
             F.round(100 * F.avg(eq), 2).alias("pct_equal")]
-    glob = names.agg(*aggs).select(F.lit("global").alias(LANG), "*")
     if not per_language:
-        return glob
-    return names.groupBy(LANG).agg(*aggs).unionByName(glob)
+        return names.agg(*aggs).select(F.lit("global").alias(LANG), "*")
+    return with_global(names, LANG, aggs)
 
 
 def _length_category() -> F.Column:

@@ -62,6 +62,28 @@ def expected_block(names: DataFrame, lang: str = LANG, alias: str = ALIAS) -> Da
         F.min_by("block", F.struct(-F.col("n"), F.col("block"))).alias("expected_block"))
 
 
+def language_stats(names: DataFrame, lang: str = LANG, alias: str = ALIAS) -> DataFrame:
+    """D6 + D7 from one pass over the names: every row contributes its strict
+    mode (kind 'e', count 1) and its prototype counts (kind 'p'); one grouped
+    sum over (language, kind, block) yields both. Result: (language,
+    expected_block, prototype), one row per language."""
+    strict_mode = S.strict_most_common_block(F.col(alias))
+    proto = S.block_count_entries(F.col(alias), strip=False, ignore_punctuation=True, ignore_numbers=True)
+    items = F.concat(
+        F.array(F.struct(F.lit("e").alias("kind"), strict_mode.alias("block"), F.lit(1).cast("long").alias("n"))),
+        F.transform(proto, lambda e: F.struct(F.lit("p").alias("kind"), e["block"].alias("block"), e["n"].alias("n"))))
+    per = (names.select(lang, F.explode(items).alias("x"))
+           .groupBy(lang, F.col("x.kind").alias("kind"), F.col("x.block").alias("block"))
+           .agg(F.sum("x.n").alias("n")))
+    e = F.col("kind") == "e"
+    agg = per.groupBy(lang).agg(
+        F.min_by(F.when(e, F.col("block")), F.when(e, F.struct(-F.col("n"), F.col("block")))).alias("expected_block"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(~e, F.struct("block", "n"))))).alias("_m"),
+        F.sum(F.when(~e, F.col("n"))).alias("_t"))
+    return agg.select(lang, "expected_block",
+                      F.transform_values("_m", lambda k, v: v / F.col("_t")).alias("prototype"))
+
+
 def _vote(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0)).when(c, F.lit(1)).otherwise(F.lit(-1))
 
@@ -116,8 +138,7 @@ def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
     ``extra_taggers`` maps a name to a function ``DataFrame columns ->
     nullable boolean Column`` (custom tagger; null = abstain); ``method`` may
     be a function over the array of +1/-1/0 votes (custom aggregator)."""
-    stats = expected_block(names, lang, alias).join(
-        language_prototype(names, lang, alias), on=lang, how="left")
+    stats = language_stats(names, lang, alias)
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
                        F.col("expected_block"), F.col("prototype"), critical)
@@ -172,8 +193,7 @@ def standardize_script_flagged(names: DataFrame, allow: DataFrame,
         tagged = j
     else:
         unlisted = names.join(small_side(a.select(F.col("_lc").alias(lang))), on=lang, how="left_anti")
-        stats = expected_block(unlisted, lang, alias).join(
-            language_prototype(unlisted, lang, alias), on=lang, how="left")
+        stats = language_stats(unlisted, lang, alias)
         tagged = j.join(stats, on=lang, how="left")
         tagged = (tagged.withColumn("_seq", S.block_entries(F.col(alias)))
                   .withColumn("_hist", S.histogram_of_entries(F.col("_seq")))
@@ -313,6 +333,5 @@ def evaluate_tagging(tagged: DataFrame, gold: DataFrame, keys: Sequence[str] = (
            F.sum((pred & ~g).cast("long")).alias("fp"),
            F.sum((~pred & g).cast("long")).alias("fn"),
            F.sum((~pred & ~g).cast("long")).alias("tn")]
-    per = j.groupBy(lang).agg(*agg)
-    glob = j.agg(*agg).select(F.lit("global").alias(lang), "*")
-    return per.unionByName(glob)
+    from .common import with_global
+    return with_global(j, lang, agg)

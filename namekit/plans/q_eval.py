@@ -134,7 +134,8 @@ FROM outputs GROUP BY GROUPING SETS ((language), ())""")
 def q_k1(spark, d):
     o = _outputs(spark, d).withColumn("_a", K.word_accuracy("reference", "hypothesis"))
     agg = [F.round(100 * F.avg("_a"), 5).alias("word_acc"), F.round(100 - 100 * F.avg("_a"), 5).alias("word_err")]
-    return o.groupBy("language").agg(*agg).unionByName(o.agg(*agg).withColumn("language", F.lit("global")))
+    from ..operators.common import with_global
+    return with_global(o, "language", agg)
 
 
 @register("k2_lcs_f1", O.with_names(_outputs_sql()) + f"""
@@ -142,8 +143,8 @@ SELECT coalesce(language, 'global') AS language, round(100 * avg({_f1_sql('refer
 FROM outputs GROUP BY GROUPING SETS ((language), ())""")
 def q_k2(spark, d):
     o = _outputs(spark, d).withColumn("_f1", K.lcs_f1("reference", "hypothesis"))
-    per = o.groupBy("language").agg(F.round(100 * F.avg("_f1"), 5).alias("mean_f1"))
-    return per.unionByName(o.agg(F.round(100 * F.avg("_f1"), 5).alias("mean_f1")).withColumn("language", F.lit("global")))
+    from ..operators.common import with_global
+    return with_global(o, "language", [F.round(100 * F.avg("_f1"), 5).alias("mean_f1")])
 
 
 @register("k3_label_error_rate")
