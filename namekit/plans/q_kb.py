@@ -233,3 +233,21 @@ def q_f2(spark, d):
     from .pipeline import typed_names
     n = typed_names(spark, d).select("alias", F.col("name").alias("eng"))
     return FA.align_characters(n, iterations=5)
+
+
+@register("b3_labels_map", _sql("""
+SELECT id, (SELECT string_agg(language || '=' || coalesce(value, ''), ';' ORDER BY language)
+            FROM labels l WHERE l.id = e.id) AS labels FROM ents e"""))
+def q_b3(spark, d):
+    e = _entities(spark, d).select("id", B.labels_map().alias("m"))
+    s = F.array_join(F.transform(F.array_sort(F.map_entries("m")),
+                                 lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))), ";")
+    return e.select("id", F.when(F.size("m") > 0, s).alias("labels"))
+
+
+@register("b4_label_languages", _sql("""
+SELECT id, (SELECT string_agg(language, ',' ORDER BY language) FROM labels l WHERE l.id = e.id) AS languages
+FROM ents e"""))
+def q_b4(spark, d):
+    e = _entities(spark, d).select("id", B.label_languages().alias("l"))
+    return e.select("id", F.when(F.size("l") > 0, F.array_join(F.array_sort("l"), ",")).alias("languages"))

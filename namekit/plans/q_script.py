@@ -298,3 +298,22 @@ def q_d25(spark, d):
     gold = (T.table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("gold_anomalous"))
             .join(pos.select("doc_id", "line_no", "language"), "doc_id"))
     return D.evaluate_tagging(tagged, gold, keys=["doc_id", "line_no", "language"])
+
+
+@register("d13_vote_methods", O.with_names(*TAG_CTES) + """
+SELECT doc_id, line_no,
+       v1 + v2 + v3 + v4 + v5 > 0 AS majority_vote,
+       (v1 <> 0 OR v2 <> 0 OR v3 <> 0 OR v4 <> 0 OR v5 <> 0) AND least(v1, v2, v3, v4, v5) >= 0 AS all_votes,
+       greatest(v1, v2, v3, v4, v5) = 1 AS any_vote,
+       v1 <> 0 AND v2 <> 0 AND v3 <> 0 AND v4 <> 0 AND v5 <> 0 AS all_compat,
+       v1 <> 0 OR v2 <> 0 OR v3 <> 0 OR v4 <> 0 OR v5 <> 0 AS any_compat
+FROM votes""")
+def q_d13(spark, d):
+    t = D.tag_names(_pos(spark, d), keep_votes=True)
+    votes = [F.col(f"vote_{k}") for k in ("incorrect_block", "missing_block", "divergent", "kana", "cjk")]
+    return t.select("doc_id", "line_no",
+                    D.aggregate_votes(votes, "majority_vote").alias("majority_vote"),
+                    D.aggregate_votes(votes, "all").alias("all_votes"),
+                    D.aggregate_votes(votes, "any").alias("any_vote"),
+                    D.aggregate_votes(votes, "all", compat=True).alias("all_compat"),
+                    D.aggregate_votes(votes, "any", compat=True).alias("any_compat"))

@@ -105,19 +105,21 @@ def read_script_allowlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_number(df: DataFrame, out: str = "line") -> DataFrame:
-    """Exact 0-based row number in file order, JVM-side and without a
-    shuffle: one small job counts the rows of every input partition (one row
-    per partition comes back), the offsets become a literal array, and a row's
-    number is its partition offset plus its position in the partition."""
-    d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = {r["_pid"]: r["n"] for r in d.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for pid in range(max(counts) + 1 if counts else 0):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    arr = F.split(F.lit(",".join(map(str, offsets)) or "0"), ",").cast("array<long>")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return d.withColumn(out, F.element_at(arr, F.col("_pid") + 1) + pos).drop("_pid", "_mid")
+    """Exact 0-based line number in (file path, position) order for a file
+    scan, JVM-side: rows are keyed by their file block
+    (``_metadata.file_path``, ``file_block_start``) and their position in the
+    block (monotonically increasing id minus the block's first id); one small
+    aggregate gives the row count of every block, and a running sum over the
+    blocks (one row per block) gives each block's offset."""
+    from pyspark.sql import Window
+    d = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                  F.col("_metadata.file_block_start").alias("_s"),
+                  F.monotonically_increasing_id().alias("_m"))
+    blocks = d.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    j = d.join(blocks.select("_f", "_s", "_m0", "_off"), on=["_f", "_s"], how="inner")
+    return j.withColumn(out, F.col("_off") + F.col("_m") - F.col("_m0")).drop("_f", "_s", "_m", "_m0", "_off")
 
 
 def _indexed_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
