@@ -105,3 +105,16 @@ def test_crossing_count(spark):
 def test_alignment_pair(spark):
     df = spark.createDataFrame([("ab c", "x y")], "a string, e string")
     assert df.select(A.alignment_pair("a", "e")).first()[0] == "a b ▁ c ||| x ▁ y"
+
+
+def test_romanization_distance_equals_levenshtein(spark):
+    import random
+    import unicodedata
+    rnd = random.Random(7)
+    letters = [chr(c) for c in range(0x20, 0x250) if unicodedata.category(chr(c))[0] in "LZP"] + list("ÅÉéßİ")
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    words += ["Ça été", "eéééé", "Åå", "İstanbul"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = df.select("w", P.romanization_distance(F.col("w")).alias("d"), P.romanize(F.col("w")).alias("r")).collect()
+    for r in rows:
+        assert r["d"] == py_lev(r["w"].lower(), r["r"].lower()), r["w"]
