@@ -71,21 +71,40 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
     """
     from ..session import checkpoint_dir
     checkpoint_dir(roots.sparkSession)
-    e = edges.select("child", "parent").distinct()
+    # the edge list is read on every level: materialize it once
+    e = edges.select("child", "parent").distinct().checkpoint()
     level = roots.select("type", F.col("root").alias("class")).distinct().checkpoint()
     closure = level
-    for _ in range(max_iterations):
-        # one reliable checkpoint per level; the closure is a union of
-        # checkpointed levels, so its plan and lineage stay flat
-        level = (level.join(e, level["class"] == e["parent"])
-                 .select("type", F.col("child").alias("class")).distinct()
-                 .join(closure, on=["type", "class"], how="left_anti")).checkpoint()
+    persisted = []
+    for i in range(1, max_iterations + 1):
+        nxt = (level.join(e, level["class"] == e["parent"])
+               .select("type", F.col("child").alias("class")).distinct()
+               .join(closure, on=["type", "class"], how="left_anti"))
+        # levels are cached; every third level both the level and the closure
+        # are written as reliable checkpoints, which keeps plans and lineage
+        # short (a plan references the closure twice per level)
+        if i % CLOSURE_CHECKPOINT_EVERY == 0:
+            level = nxt.checkpoint()
+        else:
+            level = nxt.persist()
+            persisted.append(level)
         if level.isEmpty():
             break
         closure = closure.unionByName(level)
+        if i % CLOSURE_CHECKPOINT_EVERY == 0:
+            closure = closure.checkpoint()
+            for p in persisted:
+                p.unpersist()
+            persisted = []
+    closure = closure.checkpoint()
+    for p in persisted:
+        p.unpersist()
     return closure
 
 
+CLOSURE_CHECKPOINT_EVERY = 3
+
+
 def filter_by_class(entities: DataFrame, closure: DataFrame, type_: str) -> DataFrame:
     """Entities with a class in the closure of ``type_``."""
     cls = closure.filter(F.col("type") == type_).select("class")
