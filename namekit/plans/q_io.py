@@ -117,12 +117,32 @@ def q_a12(spark, d):
     return IO.parse_combined_outputs(spark, path)
 
 
-@register("a13_extract_html_tables")
+def _cells_sql() -> str:
+    """DuckDB version of the <ul>/<li> extraction: cell text = inner HTML
+    without tags, with the five XML entities decoded."""
+    txt = "regexp_replace(x, '<[^>]*>', '', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        txt = f"replace({txt}, '{ent}', '{ch}')"
+    return f"""cells AS (
+  SELECT page_id, CAST(generate_subscripts(uls, 1) - 1 AS INTEGER) AS row_ix,
+         list_transform(regexp_extract_all(unnest(uls), '<li[^>]*>(.*?)</li>', 1), lambda x: {txt}) AS cells
+  FROM (SELECT page_id, regexp_extract_all(html, '<ul[^>]*>(.*?)</ul>', 1) AS uls FROM pages))"""
+
+
+def _a14_sql() -> str:
+    key = O.strip("cells[1]")
+    val = O.strip("replace(cells[2], ' (closed)', '')")
+    return "WITH " + _cells_sql() + f"""
+, kv AS (SELECT {key} AS key, {val} AS value, page_id, row_ix FROM cells)
+SELECT key, arg_max(value, {{'p': page_id, 'r': row_ix}}) AS value FROM kv WHERE key IS NOT NULL GROUP BY key"""
+
+
+@register("a13_extract_html_tables", "WITH " + _cells_sql() + " SELECT page_id, row_ix, cells FROM cells")
 def q_a13(spark, d):
     return HT.extract_html_tables(T.table(spark, d, "pages"), "ul", "li", skip_header=False)
 
 
-@register("a14_table_to_lookup")
+@register("a14_table_to_lookup", _a14_sql())
 def q_a14(spark, d):
     cells = HT.extract_html_tables(T.table(spark, d, "pages"), "ul", "li", skip_header=False)
     return HT.table_to_lookup(cells, 0, 1)

@@ -81,8 +81,10 @@ def table_to_lookup(cells: DataFrame, key_ix: int = 0, value_ix: int = 1,
                     keep_keys: DataFrame | None = None) -> DataFrame:
     """Key -> value from two cells; strip, drop " (closed)"; the last
     row of a duplicate key wins; optional key filter (semi join)."""
-    kv = cells.select(F.trim(F.element_at("cells", key_ix + 1)).alias("key"),
-                      F.trim(F.replace(F.element_at("cells", value_ix + 1), F.lit(" (closed)"), F.lit(""))).alias("value"),
+    from ..functions.text import unicode_strip
+    kv = cells.select(unicode_strip(F.element_at("cells", key_ix + 1)).alias("key"),
+                      unicode_strip(F.replace(F.element_at("cells", value_ix + 1), F.lit(" (closed)"),
+                                              F.lit(""))).alias("value"),
                       "page_id", "row_ix").filter(F.col("key").isNotNull())
     if keep_keys is not None:
         kv = kv.join(keep_keys.select(F.col(keep_keys.columns[0]).alias("key")), "key", "left_semi")
