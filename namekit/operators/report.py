@@ -196,4 +196,4 @@ def rank_by_count(counts: DataFrame, n: str = "count", key: str = LANG) -> DataF
     per language, so it is small.
     """
     w = Window.orderBy(F.desc(n), F.col(key))
-    return counts.withColumn("rank", F.row_number().over(w))
+    return counts.withColumn("rank", F.row_number().over(w).cast("long"))

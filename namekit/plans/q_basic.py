@@ -192,10 +192,10 @@ def q_j3(spark, d):
 
 
 @register("j4_english_match", O.with_names() + """
-SELECT language, sum(CAST(alias = eng AS BIGINT)) AS n_equal, count(*) AS n_rows,
+SELECT language, CAST(sum(CAST(alias = eng AS BIGINT)) AS BIGINT) AS n_equal, count(*) AS n_rows,
        round(100 * avg(CAST(alias = eng AS BIGINT)), 2) AS pct_equal FROM names GROUP BY language
 UNION ALL
-SELECT 'global', sum(CAST(alias = eng AS BIGINT)), count(*),
+SELECT 'global', CAST(sum(CAST(alias = eng AS BIGINT)) AS BIGINT), count(*),
        round(100 * avg(CAST(alias = eng AS BIGINT)), 2) FROM names""")
 def q_j4(spark, d):
     return J.english_match(_names(spark, d))

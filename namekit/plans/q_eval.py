@@ -101,7 +101,7 @@ SELECT {NAMES5}, len, chunk, CASE WHEN hi <= 30 THEN 'top' ELSE 'bottom' END AS
 FROM w WHERE hi <= 30 OR lo <= 30""")
 def q_h9(spark, d):
     n = _names(spark, d)
-    n = n.withColumn("len", F.length("alias"))
+    n = n.withColumn("len", F.length("alias").cast("long"))
     return H.extreme_examples(n, "len", 30, 1000, key_cols=["wikidata_id", "eng", "alias", "language", "type"])
 
 

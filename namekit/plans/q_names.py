@@ -108,7 +108,7 @@ def q_e7(spark, d):
 , g AS (SELECT language, count(*) FILTER (WHERE NOT u) AS n_changed, count(*) FILTER (WHERE u) AS n_unchanged
         FROM s GROUP BY GROUPING SETS ((language), ()))
 SELECT CASE WHEN g.language IS NULL THEN 'global' ELSE coalesce(l.name, g.language) END AS language,
-       0.0 AS mean_crossing_alignments, n_changed, n_unchanged
+       CAST(0.0 AS DOUBLE) AS mean_crossing_alignments, n_changed, n_unchanged
 FROM g LEFT JOIN lookup l ON l.code = g.language""")
 def q_e8(spark, d):
     from .queries import language_lookup
@@ -179,7 +179,7 @@ FROM (SELECT id, unnest(string_split(before, ' ')) AS tok,
              generate_subscripts(string_split(before, ' '), 1) AS pos FROM grp)""")
 def q_f0(spark, d):
     a = _alignments(spark, d).select("id", F.explode(A.parse_alignment(F.col("before"))).alias("p"))
-    return a.select("id", "p.pos", "p.s", "p.t")
+    return a.select("id", F.col("p.pos").cast("long").alias("pos"), "p.s", "p.t")
 
 
 @register("f3_crossing_count", "WITH " + ALIGN_SQL + "," + _cross_sql("before", "cb") + """

@@ -266,7 +266,7 @@ def q_d22(spark, d):
 
 @register("d23_script_purity", O.with_names(*DEFAULT_CTES) + """
 , nb AS (SELECT doc_id, line_no, count(*) AS n_blocks FROM dcount GROUP BY doc_id, line_no)
-SELECT language, type, sum(CASE WHEN nb.n_blocks = 1 THEN 1 ELSE 0 END) AS n_pure, count(*) AS n_tot,
+SELECT language, type, CAST(sum(CASE WHEN nb.n_blocks = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pure, count(*) AS n_tot,
        round(sum(CASE WHEN nb.n_blocks = 1 THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS purity,
        round(1 - sum(CASE WHEN nb.n_blocks = 1 THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS impurity
 FROM names_all n LEFT JOIN nb USING (doc_id, line_no) GROUP BY language, type""")
@@ -288,8 +288,10 @@ def q_d24(spark, d):
 @register("d25_evaluate_tagging", O.with_names(*TAG_CTES) + """
 , g AS (SELECT v.language, v1 + v2 + v3 + v4 + v5 > 0 AS pred, l.quality = 0 AS gold
         FROM votes v JOIN labels l ON l.doc_id = v.doc_id)
-, agg AS (SELECT language, sum(CAST(pred AND gold AS BIGINT)) AS tp, sum(CAST(pred AND NOT gold AS BIGINT)) AS fp,
-                 sum(CAST(NOT pred AND gold AS BIGINT)) AS fn, sum(CAST(NOT pred AND NOT gold AS BIGINT)) AS tn
+, agg AS (SELECT language, CAST(sum(CAST(pred AND gold AS BIGINT)) AS BIGINT) AS tp,
+                 CAST(sum(CAST(pred AND NOT gold AS BIGINT)) AS BIGINT) AS fp,
+                 CAST(sum(CAST(NOT pred AND gold AS BIGINT)) AS BIGINT) AS fn,
+                 CAST(sum(CAST(NOT pred AND NOT gold AS BIGINT)) AS BIGINT) AS tn
           FROM g GROUP BY GROUPING SETS ((language), ()))
 SELECT coalesce(language, 'global') AS language, tp, fp, fn, tn FROM agg""")
 def q_d25(spark, d):

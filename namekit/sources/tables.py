@@ -52,6 +52,7 @@ def names_from_documents(documents: DataFrame, with_position: bool = False) -> D
     exploded = (docs.select("doc_id", "lang", "eng",
                             F.posexplode_outer("_lines").alias("line_no", "alias"))
                 .filter(F.col("line_no").isNotNull()))
+    exploded = exploded.withColumn("line_no", F.col("line_no").cast("long"))
     out = exploded.select(
         F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("wikidata_id"),
         "eng", "alias", F.col("lang").alias("language"),
