@@ -214,7 +214,31 @@ def q_b17(spark, d):
 PIPE_ALLOW = [("en", ["BASIC_LATIN"])]
 
 
-@register("pipeline_resource")
+def _pipeline_sql() -> str:
+    from .oracle import strip_paren
+    from .q_script import tag_ctes
+    body = DUMP_NAMES_SQL + f"""
+, pn AS (SELECT wikidata_id, name AS eng, alias, language, type FROM dnames WHERE starts_with(wikidata_id, 'Q'))
+, ptypes AS (SELECT wikidata_id, count(*) AS n_types, string_agg(type, '-' ORDER BY type) AS types
+             FROM (SELECT DISTINCT wikidata_id, type FROM pn) GROUP BY wikidata_id)
+, prules(types, canon) AS (VALUES ('LOC-ORG', 'LOC'), ('LOC-ORG-PER', 'ORG'), ('ORG-PER', 'ORG'), ('LOC-PER', 'PER'))
+, pd AS (SELECT DISTINCT p.wikidata_id, p.eng, p.alias, p.language,
+                coalesce(CASE WHEN t.n_types > 1 THEN r.canon END, p.type) AS type
+         FROM pn p JOIN ptypes t USING (wikidata_id) LEFT JOIN prules r ON r.types = t.types)
+, pc AS (SELECT wikidata_id, {strip_paren('eng')} AS eng, {strip_paren('alias')} AS alias, language, type FROM pd)
+, unl AS (SELECT * FROM pc WHERE language <> 'en')
+, """ + ",\n".join(tag_ctes("unl", ["wikidata_id", "language"])) + """
+, """ + ",\n".join(tag_ctes("pc", ["wikidata_id", "language"], p="l_")[:3]) + """
+, lst AS (SELECT pc.*, coalesce(m.block, '') AS block FROM pc
+          LEFT JOIN l_dmode m ON m.wikidata_id = pc.wikidata_id AND m.language = pc.language
+          WHERE pc.language = 'en')
+SELECT wikidata_id, eng, alias, language, type FROM lst WHERE block IN ('BASIC_LATIN')
+UNION ALL
+SELECT wikidata_id, eng, alias, language, type FROM t_votes WHERE NOT anomalous"""
+    return _sql(body)
+
+
+@register("pipeline_resource", _pipeline_sql())
 def q_pipeline_resource(spark, d):
     from .pipeline import build_resource
     allow = spark.createDataFrame(PIPE_ALLOW, "language_code string, scripts array<string>")

@@ -319,3 +319,58 @@ def q_d13(spark, d):
                     D.aggregate_votes(votes, "any").alias("any_vote"),
                     D.aggregate_votes(votes, "all", compat=True).alias("all_compat"),
                     D.aggregate_votes(votes, "any", compat=True).alias("any_compat"))
+
+
+def tag_ctes(src: str, keys: list[str], p: str = "t_") -> list[str]:
+    """The D14 oracle CTEs for any source table with a unique row key
+    ``keys`` (which must include ``language``); names are prefixed by ``p``."""
+    k = ", ".join(keys)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    rk = list(keys)
+    rkl = ", ".join(rk)
+    return [
+        O.char_rows(src, "alias", k, name=f"{p}dch"),
+        f"""{p}dcount AS (SELECT {k}, block, count(*) AS n, min(pos) AS first_pos FROM {p}dch GROUP BY {k}, block)""",
+        O.mode_rows(f"{p}dch", k, name=f"{p}dmode"),
+        O.char_rows(src, "alias", k, strip_text=True, ignore_punct=True, ignore_num=True, name=f"{p}sch"),
+        O.mode_rows(f"{p}sch", k, name=f"{p}smode"),
+        O.char_rows(src, "alias", k, ignore_punct=True, ignore_num=True, name=f"{p}pch"),
+        f"""{p}proto AS (SELECT language, block, n * 1.0 / sum(n) OVER (PARTITION BY language) AS q
+               FROM (SELECT language, block, count(*) AS n FROM {p}pch GROUP BY language, block))""",
+        f"""{p}nb AS (SELECT n.language, coalesce(m.block, '') AS block FROM {src} n
+               LEFT JOIN {p}smode m ON {on('n', 'm')})""",
+        f"""{p}expected AS (SELECT language, block AS expected_block FROM (
+               SELECT language, block, row_number() OVER (PARTITION BY language ORDER BY n DESC, block) AS rn
+               FROM (SELECT language, block, count(*) AS n FROM {p}nb GROUP BY language, block)) WHERE rn = 1)""",
+        f"""{p}hist AS (SELECT {k}, block, n * 1.0 / sum(n) OVER (PARTITION BY {rkl}) AS p FROM {p}dcount)""",
+        f"""{p}np AS (SELECT {', '.join('n.' + c for c in rk)}, pr.block, pr.q FROM {src} n JOIN {p}proto pr USING (language))""",
+        f"""{p}jsd AS (SELECT {rkl}, 0.5 * sum(
+                 CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END +
+                 CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) AS jsd
+               FROM (SELECT {', '.join(f'coalesce(h.{c}, np.{c}) AS {c}' for c in rk)},
+                            coalesce(h.p, 0) AS p, coalesce(np.q, 0) AS q
+                     FROM {p}hist h FULL OUTER JOIN {p}np np ON {on('h', 'np')} AND h.block = np.block)
+               GROUP BY {rkl})""",
+        f"""{p}votes AS (
+  SELECT n.*, CASE WHEN t1 IS NULL THEN 0 WHEN t1 THEN 1 ELSE -1 END
+            + CASE WHEN t2 IS NULL THEN 0 WHEN t2 THEN 1 ELSE -1 END
+            + CASE WHEN t3 IS NULL THEN 0 WHEN t3 THEN 1 ELSE -1 END
+            + CASE WHEN t4 IS NULL THEN 0 WHEN t4 THEN 1 ELSE -1 END
+            + CASE WHEN t5 IS NULL THEN 0 WHEN t5 THEN 1 ELSE -1 END > 0 AS anomalous,
+         coalesce(dm.block, '') AS block
+  FROM {src} n LEFT JOIN (
+    SELECT n.{rk[0]} AS _k0, {', '.join(f'n.{c} AS _k{i}' for i, c in enumerate(rk) if i)}{',' if len(rk) > 1 else ''}
+           coalesce(dm.block, '') <> e.expected_block AS t1,
+           NOT EXISTS (SELECT 1 FROM {p}hist h WHERE {on('h', 'n')} AND h.block = e.expected_block) AS t2,
+           j.jsd >= 0.1 AS t3,
+           CASE WHEN regexp_matches(n.language, '^(ja|zh-*|lzh|wuu)') THEN
+             CASE WHEN n.language = 'ja' THEN NOT kana ELSE kana END END AS t4,
+           CASE WHEN regexp_matches(n.language, '^(ja|zh-*|lzh|wuu)') THEN cjk END AS t5
+    FROM {src} n LEFT JOIN {p}dmode dm ON {on('n', 'dm')}
+    LEFT JOIN {p}expected e ON e.language = n.language
+    LEFT JOIN {p}jsd j ON {on('n', 'j')}
+    LEFT JOIN (SELECT {rkl}, bool_or(block IN ('HIRAGANA', 'KATAKANA')) AS kana,
+                      bool_or(starts_with(block, 'CJK')) AS cjk FROM {p}hist GROUP BY {rkl}) kk ON {on('n', 'kk')}
+  ) v ON {' AND '.join(f'n.{c} = v._k{i}' for i, c in enumerate(rk))}
+  LEFT JOIN {p}dmode dm ON {on('n', 'dm')})""",
+    ]
