@@ -31,7 +31,7 @@ HEADLINE = [
     "j7_summary_table",
     "k4_corpus_bleu",
     "b15_dump_names",
-    "pipeline_resource",
+    "resource_build",
 ]
 
 

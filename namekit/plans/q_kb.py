@@ -210,11 +210,11 @@ def q_b17(spark, d):
     return B.upsert_entities(s.select("id", "name"), upd)
 
 
-# ------------------------------------------------------------------ pipelines
+# ------------------------------------------------------------------ entry points
 PIPE_ALLOW = [("en", ["BASIC_LATIN"])]
 
 
-def _pipeline_sql() -> str:
+def _resource_sql() -> str:
     from .oracle import strip_paren
     from .q_script import tag_ctes
     body = DUMP_NAMES_SQL + f"""
@@ -238,23 +238,23 @@ SELECT wikidata_id, eng, alias, language, type FROM t_votes WHERE NOT anomalous"
     return _sql(body)
 
 
-@register("pipeline_resource", _pipeline_sql())
-def q_pipeline_resource(spark, d):
-    from .pipeline import build_resource
+@register("resource_build", _resource_sql())
+def q_resource_build(spark, d):
+    from .resource import build_resource
     allow = spark.createDataFrame(PIPE_ALLOW, "language_code string, scripts array<string>")
     return build_resource(spark, d, allow)
 
 
-@register("pipeline_crossing_experiment")
-def q_pipeline_crossing(spark, d):
-    from .pipeline import crossing_experiment
+@register("crossing_experiment")
+def q_crossing_experiment(spark, d):
+    from .resource import crossing_experiment
     return crossing_experiment(spark, d)
 
 
 @register("f2_align_characters")
 def q_f2(spark, d):
     from ..operators import align as FA
-    from .pipeline import typed_names
+    from .resource import typed_names
     n = typed_names(spark, d).select("alias", F.col("name").alias("eng"))
     return FA.align_characters(n, iterations=5)
 

@@ -280,7 +280,7 @@ SELECT s.id AS wikidata_id, l.language, l.value AS alias, s.name,
 FROM simple s JOIN labels l USING (id)""")
 def q_e13(spark, d):
     from ..operators import kb as B
-    from .pipeline import ingest
+    from .resource import ingest
     n = B.explode_names(ingest(spark, d), "NONE")
     return n.select("wikidata_id", "language", "alias", "name",
                     P.edit_distance(F.col("alias"), F.col("name")).alias("distance"))
@@ -290,7 +290,7 @@ def q_e13(spark, d):
 def q_f5(spark, d):
     """F2 trained once on all languages and once per language; mean
     crossings of both, joined per language."""
-    from .pipeline import typed_names
+    from .resource import typed_names
     n = typed_names(spark, d).select("alias", F.col("name").alias("eng"), "language")
     pooled = FA.align_characters(n.select("alias", "eng"), iterations=3)
     sep = FA.align_characters(n, iterations=3, by="language")

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from namekit.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"pipeline_crossing_experiment", "f2_align_characters", "k5_metrics_by_language",
+SLOW = {"crossing_experiment", "f2_align_characters", "k5_metrics_by_language",
         "f5_pooled_vs_separate"}
 
 
