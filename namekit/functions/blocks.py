@@ -52,7 +52,7 @@ def _jvm_block_ranges(spark) -> list[tuple[int, int, str | None]]:
 
 def _high_block(cp: Column) -> Column:
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     ranges = _jvm_block_ranges(spark)
     names = sorted({n for _, _, n in ranges if n is not None})
     pos = {n: i + 1 for i, n in enumerate(names)}
