@@ -71,15 +71,19 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
     """
     from ..session import checkpoint_dir
     checkpoint_dir(roots.sparkSession)
-    # the edge list is read on every level: materialize it once
+    # the edge list is read on every level: materialize it once, in as many
+    # partitions as its size needs (about 1M edges each), so the per-level
+    # checkpoints do not write hundreds of tiny files
     e = edges.select("child", "parent").distinct().checkpoint()
-    level = roots.select("type", F.col("root").alias("class")).distinct().checkpoint()
+    parts = max(1, -(-e.count() // CLOSURE_EDGES_PER_PARTITION))
+    e = e.coalesce(parts)
+    level = roots.select("type", F.col("root").alias("class")).distinct().coalesce(parts).checkpoint()
     closure = level
     persisted = []
     for i in range(1, max_iterations + 1):
         nxt = (level.join(e, level["class"] == e["parent"])
                .select("type", F.col("child").alias("class")).distinct()
-               .join(closure, on=["type", "class"], how="left_anti"))
+               .join(closure, on=["type", "class"], how="left_anti")).coalesce(parts)
         # levels are cached; every third level both the level and the closure
         # are written as reliable checkpoints, which keeps plans and lineage
         # short (a plan references the closure twice per level)
@@ -103,6 +107,7 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
 
 
 CLOSURE_CHECKPOINT_EVERY = 3
+CLOSURE_EDGES_PER_PARTITION = 1_000_000
 
 
 def filter_by_class(entities: DataFrame, closure: DataFrame, type_: str) -> DataFrame:
