@@ -46,9 +46,13 @@ def current_entities(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def stream_language_counts(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str,
-                           fmt: str = "json", available_now: bool = True):
+                           fmt: str = "json", available_now: bool = True, state_partitions: int = 8):
     """Running (language, type) counts over name files; every micro-batch
-    rewrites the small complete result at ``out_path``."""
+    rewrites the small complete result at ``out_path``.
+
+    The state has one row per (language, type), so it is kept in
+    ``state_partitions`` partitions (fixed when the query's checkpoint is
+    created) instead of the session's shuffle-partition count."""
     names = spark.readStream.format(fmt).schema(NAME_SCHEMA).load(src_dir)
     counts = names.filter(F.length("language") > 0).groupBy("language", "type").count()
 
@@ -58,4 +62,10 @@ def stream_language_counts(spark: SparkSession, src_dir: str, out_path: str, che
     w = (counts.writeStream.outputMode("complete").foreachBatch(snapshot)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    # the streaming query clones the session conf when it starts
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
