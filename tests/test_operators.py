@@ -120,3 +120,20 @@ def test_bleu_perfect_and_disjoint(spark):
     # exponential smoothing: the k-th empty precision becomes 1 / (2^k * total)
     exp = 100 * math.exp(sum(math.log(p) for p in (1 / 8, 1 / 12, 1 / 16, 1 / 16)) / 4)
     assert math.isclose(K.corpus_bleu(dis, ["language"]).first()["bleu"], exp)
+
+
+def test_vote_aggregation_semantics(spark):
+    from namekit.operators import script as D
+    rows = [(1, 1, 1), (1, -1, 0), (-1, -1, -1), (0, 0, 0), (1, 0, 0), (-1, 0, 1)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    v = [F.col("a"), F.col("b"), F.col("c")]
+    got = df.select(D.aggregate_votes(v, "majority_vote").alias("m"), D.aggregate_votes(v, "all").alias("al"),
+                    D.aggregate_votes(v, "any").alias("an"), D.aggregate_votes(v, "all", compat=True).alias("alc"),
+                    D.aggregate_votes(v, "any", compat=True).alias("anc")).collect()
+    for (a, b, c), g in zip(rows, got):
+        votes = [a, b, c]
+        assert g["m"] == (sum(votes) / 3 > 0)
+        assert g["alc"] == all(votes) and g["anc"] == any(votes)          # original truthiness
+        cast = [x for x in votes if x != 0]
+        assert g["al"] == (bool(cast) and all(x == 1 for x in cast))      # intended meaning
+        assert g["an"] == any(x == 1 for x in votes)
