@@ -58,3 +58,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not (sc._jsc.sc().getCheckpointDir().isDefined()):
         sc.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, for functions that run there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_namekit_shipped", False):
+        return
+    import pathlib
+    import tempfile
+    import zipfile
+
+    root = pathlib.Path(__file__).resolve().parent
+    # read by the driver's own file server only; executors fetch it from there
+    path = pathlib.Path(tempfile.mkdtemp(prefix="namekit-ship-")) / "namekit.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._namekit_shipped = True
