@@ -1,11 +1,12 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut at gaps between words. The gear hash of the bytes before a gap (32 of them reach into
+A text is cut at gaps between words. The gear hash of the bytes before a gap (16 of them reach into
 it) decides: a gap is a cut if its hash is the least among its neighbours on either side, so chunks
-have five words at least and some nine on average, and a cut depends on nothing but the words
+have four words at least and some seven on average, and a cut depends on nothing but the words
 around it: after an insertion the cuts are the old ones again a few words later. Chunks are compared
 by 128-bit digests of their whole bytes. Runs of neighbouring chunks that stand in other documents too, of
-MIN_WORDS words or more, are repeated passages.
+MIN_WORDS words or more, are repeated passages. A repeated passage of 50 words keeps more than that
+in whole chunks, while short shared lines stay below it.
 
 Counting goes by digest with partial sums, so a chunk that a third of all documents share is summed
 before the shuffle, and its places are joined back to the one row of its digest.
@@ -29,9 +30,9 @@ from pyspark.sql.window import Window
 from namekit.llm import arrowtext
 from namekit.llm.tables import arrow_map, written
 
-REACH = 4
-GEAR_BYTES = 32
-MIN_WORDS = 12
+REACH = 3
+GEAR_BYTES = 16
+MIN_WORDS = 20
 SLICE_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 #: One random 32-bit value for every byte.
@@ -40,7 +41,7 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash h = 2 h + GEAR[byte] (32 bits, hence of 32 bytes) after every byte: sums over
+    """The rolling hash h = 2 h + GEAR[byte] over the last GEAR_BYTES bytes, after every byte: sums over
     1, 2, 4, ... bytes."""
     h = GEAR[raw]
     reach = 1
