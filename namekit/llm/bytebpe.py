@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from namekit.llm import arrowtext
 from namekit.llm.tables import arrow_map
 
-#: Pieces kept with their ids between batches, and the longest of them, in characters.
-MEMO_PIECES = 600_000
+#: Pieces kept with their ids between batches (twice as many at times), and the longest, in characters.
+MEMO_PIECES = 300_000
 MEMO_CHARS = 48
 
 _SPACE_AFTER_SPACE = re.compile(r"[^\S ] |\s[^\S ]* ")
@@ -48,76 +48,82 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.token = {i: t for t, i in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        #: (left id, right id) of every way to split a token into two tokens
-        self.pair: dict[tuple[int, int], int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: by left id: right id to rank, of every way to split a token into two tokens
+        none: dict[int, int] = {}
+        self.pair = [none] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    self.pair[left, right] = rank
-
-    def encode(self, words: Iterable[bytes]) -> list[list[int]]:
+                    if self.pair[left] is none:
+                        self.pair[left] = {}
+                    self.pair[left][right] = rank
+        self.first = np.full((256, 256), -1, np.int64)
+        for a in range(256):
+            for b in range(256):
+                self.first[a, b] = self.pair[self.byte[a]].get(int(self.byte[b]), -1)
+
+    def encode(self, words: Iterable[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
         words = list(words)
-        ids = [self.byte[b] for word in words for b in word]
-        begins, n = [], 0
-        after: list[int] = []
-        for word in words:
-            begins.append(n)
-            n += len(word)
-            after.extend(range(n - len(word) + 1, n))
-            if word:
-                after.append(-1)
-        before = list(range(-1, n - 1))
-        for b, word in zip(begins, words, strict=True):
-            if word:
-                before[b] = -1
-        pair = self.pair.get
-        rank = [-1] * n
-        index: dict[int, list[int]] = {}
-        for p in range(n):
-            q = after[p]
-            if q >= 0 and (r := pair((ids[p], ids[q]), -1)) >= 0:
-                rank[p] = r
-                index.setdefault(r, []).append(p)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n = len(raw)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
+        if not n:
+            return [b""] * len(words)
+        # neighbours of each position, -1 beyond its word
+        last = np.zeros(n, bool)
+        last[ends[ends > 0] - 1] = True
+        follows = np.where(last, -1, np.arange(1, n + 1))
+        precedes = np.where(np.append(True, last[:-1]), -1, np.arange(-1, n - 1))
+        ranks = np.full(n, -1, np.int64)
+        ranks[:-1] = np.where(last[:-1], -1, self.first[raw[:-1], raw[1:]])
+        # the inverted index: rank of a pair to its positions
+        place = np.flatnonzero(ranks >= 0)
+        place = place[np.argsort(ranks[place], kind="stable")]
+        known, at = np.unique(ranks[place], return_index=True)
+        index = dict(zip(known.tolist(), (x.tolist() for x in np.split(place, at[1:])), strict=False))
+        ids, after, before, rank = self.byte[raw].tolist(), follows.tolist(), precedes.tolist(), ranks.tolist()
+        pair = self.pair
         queue = list(index)
-        heapq.heapify(queue)
         while queue:
             r = heapq.heappop(queue)
             places = index.pop(r, None)
             if places is None:
                 continue
             places.sort()
+            right_of = pair[r]
             for k, p in enumerate(places):
                 if rank[p] != r:
                     continue
                 q = after[p]
                 nxt = after[q]
                 ids[p], after[p], rank[q] = r, nxt, -2
-                least = r + 1
                 new = -1
+                least = r + 1
                 if nxt >= 0:
                     before[nxt] = p
-                    new = pair((r, ids[nxt]), -1)
+                    new = right_of.get(ids[nxt], -1)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heapq.heappush(queue, new)
+                        least = new
                 rank[p] = new
-                if new >= 0:
-                    if new in index:
-                        index[new].append(p)
-                    else:
-                        index[new] = [p]
-                        heapq.heappush(queue, new)
-                    least = new if new < least else least
                 o = before[p]
                 if o >= 0:
-                    new = pair((ids[o], r), -1)
-                    rank[o] = new
+                    rank[o] = new = pair[ids[o]].get(r, -1)
                     if new >= 0:
                         if new in index:
                             index[new].append(o)
                         else:
                             index[new] = [o]
                             heapq.heappush(queue, new)
-                        least = new if new < least else least
+                        if new < least:
+                            least = new
                 if least <= r:  # goes before the rest of this rank
                     rest = places[k + 1:]
                     if rest:
@@ -127,14 +133,10 @@ class MergeReplay:
                             index[r] = rest
                             heapq.heappush(queue, r)
                     break
-        out = []
-        for b, word in zip(begins, words, strict=True):
-            one, p = [], b if word else -1
-            while p >= 0:
-                one.append(ids[p])
-                p = after[p]
-            out.append(one)
-        return out
+        stays = np.array(rank) != -2
+        data = np.array(ids, "<u4")[stays].tobytes()
+        cut = np.concatenate([[0], 4 * np.cumsum(stays)[ends - 1] * (ends > 0)]).tolist()
+        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class Codec:
@@ -143,8 +145,11 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
         self.pattern = regex.compile(pattern)
+        #: ids of pieces and of pre-tokens; what was not used since the last change of generation goes
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Cuts of ``text`` whose tokens do not depend on each other."""
@@ -158,22 +163,29 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-            self.words.clear()
+            self.memo, self.older = {}, self.memo
+        if len(self.words) > MEMO_PIECES:
+            self.words, self.older_words = {}, self.words
+        memo, known = self.memo, self.words
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut) - self.memo.keys() if cut else set()
+        new = set().union(*cut) - memo.keys()
+        for p in new & self.older.keys():
+            memo[p] = self.older[p]
+        new -= memo.keys()
         words = {p: self.pattern.findall(p) for p in new}
-        unknown = list(set().union(*words.values()) - self.words.keys()) if words else []
-        known = self.words
-        for w, ids in zip(unknown, self.replay.encode(w.encode() for w in unknown), strict=True):
-            known[w] = np.array(ids, "<u4").tobytes()
+        unknown = set().union(*words.values()) - known.keys()
+        for w in unknown & self.older_words.keys():
+            known[w] = self.older_words[w]
+        unknown = list(unknown - known.keys())
+        known.update(zip(unknown, self.replay.encode(w.encode() for w in unknown), strict=True))
+        get = known.__getitem__
         for p, ws in words.items():
-            self.memo[p] = b"".join([known[w] for w in ws])
-        get = self.memo.__getitem__
+            memo[p] = b"".join(map(get, ws))
+        get = memo.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in cut]
-        for store in (self.memo, self.words):
-            for p in [p for p in (words if store is self.memo else unknown) if len(p) > MEMO_CHARS]:
-                store.pop(p, None)
+        for store, added in ((memo, words), (known, unknown)):
+            for p in [p for p in added if len(p) > MEMO_CHARS]:
+                del store[p]
         return out
 
     def decode(self, ids: bytes) -> bytes:
