@@ -32,7 +32,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Tokens that must agree on either side of a splice.
 AGREE = 8
-MEMO_PIECES = 600_000
+#: Pieces kept with their counts between batches (twice as many at times), and the longest, in characters.
+MEMO_PIECES = 400_000
 MEMO_CHARS = 48
 SLICE_BYTES = 8 << 20
 
@@ -77,15 +78,20 @@ class Counter:
 
     def __init__(self, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.tokenizer, self.chunk, self.overlap = tokenizer, chunk, overlap
+        #: counts of pieces; what was not used since the last change of generation goes
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.widened = 0
 
     def counts(self, texts: list[str]) -> list[int]:
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         cut = [_PIECE.split(t) if len(t) <= self.chunk else None for t in texts]
-        new = list(set().union(*[c for c in cut if c is not None]) - self.memo.keys())
         memo = self.memo
+        new = set().union(*[c for c in cut if c is not None]) - memo.keys()
+        for p in new & self.older.keys():
+            memo[p] = self.older[p]
+        new = list(new - memo.keys())
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
