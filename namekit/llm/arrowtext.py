@@ -21,7 +21,7 @@ IS_WORD = (((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 65) & (_CODES <= 90))
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 #: Bytes hashed at a time; bounds the 64-bit temporaries, also inside one very long text.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from namekit.llm import arrowtext
 from namekit.llm.tables import arrow_map
 
 #: Pieces kept with their ids between batches (twice as many at times), and the longest, in characters.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 220_000
 MEMO_CHARS = 48
 
 _SPACE_AFTER_SPACE = re.compile(r"[^\S ] |\s[^\S ]* ")
@@ -211,7 +211,7 @@ def share_ranks(spark: SparkSession, path: str):
 
 
 #: Bytes of text encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",

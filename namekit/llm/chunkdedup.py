@@ -33,7 +33,7 @@ from namekit.llm.tables import arrow_map, written
 REACH = 3
 GEAR_BYTES = 16
 MIN_WORDS = 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 #: One random 32-bit value for every byte.
 GEAR = (arrowtext.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)

@@ -31,7 +31,7 @@ from namekit.llm.tables import arrow_map
 from namekit.session import checkpoint_dir
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: A block of benchmark texts that is sent to every task has about this many bytes at most.
 BLOCK_BYTES = 16 << 20
 

@@ -33,9 +33,9 @@ OVERLAP_CHARS = 512
 #: Tokens that must agree on either side of a splice.
 AGREE = 8
 #: Pieces kept with their counts between batches (twice as many at times), and the longest, in characters.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 MEMO_CHARS = 48
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _PIECE = re.compile(r"[ \n]+")
 

@@ -44,7 +44,7 @@ ERRORS = 1.0
 K_LEVEL = 1.0
 #: Scores are gathered in bins of this width for lambda and K.
 BIN = 1 / 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 HALVES = 2
 
 
