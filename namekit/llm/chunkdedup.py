@@ -113,33 +113,40 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(rows, run, "d1 long, d2 long, doc long, place int, first long, last long, words int")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end (bytes), n_words, n_chunks of every passage that stands in other documents
-    too; first_doc_id: the least id that holds a chunk of it; redundant: whether every chunk stands
-    in a document of a smaller id, so that the passage can go from this one."""
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The chunks that stand in several documents, with the least id that has each."""
     chunks = chunk_rows(docs, id_col, text_col)
     repeated = written(chunks.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
                        .where("least < most").select("d1", "d2", "least"))
-    places = chunks.join(repeated, ["d1", "d2"]).select("doc", "place", "first", "last", "words", "least")
+    return chunks.join(repeated, ["d1", "d2"]).select("doc", "place", "first", "last", "words", "least")
+
+
+def _runs(places: DataFrame, min_words: int) -> DataFrame:
+    """Neighbouring chunks together, of ``min_words`` words or more."""
     # neighbours have the same difference of place and rank; equal ids may repeat a place
     rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("place"))
-    runs = (places.withColumn("run", F.col("place") - rank).groupBy("doc", "run", "place")
+    return (places.withColumn("run", F.col("place") - rank).groupBy("doc", "run", "place")
             .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("words").alias("words"), F.min("least").alias("least"))
             .groupBy("doc", "run")
             .agg(F.min("first").alias("start"), F.max("last").alias("end"), F.sum("words").alias("n_words"),
-                 F.count("*").alias("n_chunks"), F.min("least").alias("least"), F.max("least").alias("latest")))
-    name = F.when(F.col("doc") != _NO_ID, F.col("doc"))
-    return (runs.where(F.col("n_words") >= min_words)
-            .select(name.alias("doc_id"), "start", "end", "n_words", "n_chunks",
+                 F.count("*").alias("n_chunks"), F.min("least").alias("least"))
+            .where(F.col("n_words") >= min_words)
+            .select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "start", "end", "n_words", "n_chunks",
                     F.when(F.col("least") != _NO_ID, F.col("least")).alias("first_doc_id"),
-                    (F.col("latest") < F.col("doc")).alias("redundant")))
+                    (F.col("least") < F.col("doc")).alias("redundant")))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end (bytes), n_words, n_chunks of every passage that stands in other documents
+    too; first_doc_id: the least id that holds a chunk of it; redundant: whether that is another one."""
+    return _runs(_places(docs, id_col, text_col), min_words)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and text of every row, without the redundant passages. Rows with a null id, or with an
-    id that repeats, keep their text."""
-    drop = (repeated_passages(docs, id_col, text_col, min_words).where("redundant and doc_id is not null")
+    """doc_id and text of every row, without the passages whose every chunk stands in a document of a
+    smaller id. Rows with a null id, or with an id that repeats, keep their text."""
+    drop = (_runs(_places(docs, id_col, text_col).where("least < doc"), min_words).where("doc_id is not null")
             .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     repeats = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
