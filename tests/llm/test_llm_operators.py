@@ -208,7 +208,7 @@ def test_signature_estimates_probability_jaccard():
         if e >= 12:
             y[e] = w if e % 3 else int(rng.integers(1, 5))
     exact = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
-    sig = [probminhash.signatures(np.zeros(len(s), np.int64), np.array(list(s), np.uint64) + np.uint64(7), np.array(list(s.values()), float), 1, 4096)[0] for s in (x, y)]
+    sig = [probminhash.signatures(np.zeros(len(s), np.int64), np.array(list(s), np.uint64) + np.uint64(7), np.array(list(s.values()), float), 1, 2048)[0] for s in (x, y)]
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
     sets = [(np.array(sorted(s)), np.array([s[e] for e in sorted(s)])) for s in (x, y)]
     plain = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
