@@ -124,8 +124,8 @@ def keep_languages(names: DataFrame, langs: Iterable[str], lang_col: str = LANG)
 
 
 def drop_languages(names: DataFrame, langs: Iterable[str], lang_col: str = LANG) -> DataFrame:
-    """C10 (exclusion list)."""
-    return names.filter(~F.col(lang_col).isin(list(langs)))
+    """C10 (exclusion list). A row without a language is in no list and stays."""
+    return names.filter(~F.coalesce(F.col(lang_col).isin(list(langs)), F.lit(False)))
 
 
 def search(names: DataFrame, col: str, regex: str) -> DataFrame:

@@ -169,7 +169,8 @@ def apply_script_allowlist(names: DataFrame, allow: DataFrame, lang: str = LANG,
     a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
     j = names.join(small_side(a), F.col(lang) == F.col("_lc"), "left")
     listed = F.col("_lc").isNotNull()
-    valid = ~listed | F.array_contains(F.col("_scripts"), S.most_common_block(F.col(alias)))
+    # a listed language without scripts allows none, and a null alias has no allowed script
+    valid = ~listed | F.coalesce(F.array_contains(F.col("_scripts"), S.most_common_block(F.col(alias))), F.lit(False))
     j = j.withColumn("_listed", listed).withColumn("_valid", valid).drop("_lc", "_scripts")
     cols = names.columns
     return (j.filter(F.col("_valid") & F.col("_listed")).select(*cols),

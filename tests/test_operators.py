@@ -137,3 +137,15 @@ def test_vote_aggregation_semantics(spark):
         cast = [x for x in votes if x != 0]
         assert g["al"] == (bool(cast) and all(x == 1 for x in cast))      # intended meaning
         assert g["an"] == any(x == 1 for x in votes)
+
+
+def test_nulls_lose_no_row(spark):
+    """Every row is on one side, also with a null language, alias or script list."""
+    from namekit.operators import clean, script, similarity
+    names = spark.createDataFrame([("Q1", "en", "A", "A"), ("Q2", None, "B", "B"), ("Q3", "xx", None, "C"), ("Q4", "xx", "D", None), ("Q5", "yy", "E", "E")],
+                                  "wikidata_id string, language string, alias string, eng string")
+    assert [r[0] for r in clean.drop_languages(names, ["en"], "language").orderBy("wikidata_id").collect()] == ["Q2", "Q3", "Q4", "Q5"]
+    kept, flagged = similarity.filter_similar(names, exact=True)
+    assert kept.count() + flagged.count() == 5
+    allow = spark.createDataFrame([("xx", None), ("yy", ["BASIC LATIN"])], "language_code string, scripts array<string>")
+    assert sum(side.count() for side in script.apply_script_allowlist(names, allow, lang="language", alias="alias")) == 5
