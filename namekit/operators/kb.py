@@ -3,6 +3,7 @@ name table."""
 
 from __future__ import annotations
 
+import itertools
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,7 @@ def has_claim(dump: DataFrame, prop: str = "P31", n: int | None = None) -> DataF
     return out.orderBy("id").limit(n) if n else out
 
 
-def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1000) -> DataFrame:
+def subclass_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every transitive subclass of each root (root included).
 
     Breadth-first: the frontier is joined to the edges, classes already
@@ -80,7 +81,7 @@ def subclass_closure(edges: DataFrame, roots: DataFrame, max_iterations: int = 1
     level = roots.select("type", F.col("root").alias("class")).distinct().coalesce(parts).checkpoint()
     closure = level
     persisted = []
-    for i in range(1, max_iterations + 1):
+    for i in itertools.count(1):
         nxt = (level.join(e, level["class"] == e["parent"])
                .select("type", F.col("child").alias("class")).distinct()
                .join(closure, on=["type", "class"], how="left_anti")).coalesce(parts)

@@ -29,7 +29,8 @@ def assert_no_null_language(names: DataFrame) -> DataFrame:
 
 
 def compare_languages(names: DataFrame, a: str, b: str) -> DataFrame:
-    """Per (id, type): eng, alias in a and b, url and equality flags."""
+    """Per (id, type): eng, alias in a and b, url and equality flags
+    (false where a side is missing)."""
     from .clean import ENTITY_URL_PREFIX
     g = (names.filter(F.col(LANG).isin(a, b))
          .groupBy(ID, TYPE)
@@ -38,9 +39,9 @@ def compare_languages(names: DataFrame, a: str, b: str) -> DataFrame:
               F.max(F.when(F.col(LANG) == b, F.col(ALIAS))).alias(b)))
     return g.select(ID, TYPE, ENG, a, b,
                     F.concat(F.lit(ENTITY_URL_PREFIX), F.col(ID)).alias("url"),
-                    (F.col(a) == F.col(ENG)).alias(f"{a}_is_eng"),
-                    (F.col(b) == F.col(ENG)).alias(f"{b}_is_eng"),
-                    (F.col(a) == F.col(b)).alias(f"{a}_is_{b}"))
+                    F.coalesce(F.col(a) == F.col(ENG), F.lit(False)).alias(f"{a}_is_eng"),
+                    F.coalesce(F.col(b) == F.col(ENG), F.lit(False)).alias(f"{b}_is_eng"),
+                    F.coalesce(F.col(a) == F.col(b), F.lit(False)).alias(f"{a}_is_{b}"))
 
 
 def type_counts_wide(counts: DataFrame, top: int | None = None,

@@ -363,7 +363,7 @@ def q_i2(spark, d):
 @register("i3_compare_languages", O.with_names() + """
 SELECT wikidata_id, type, eng, en, fr,
        'https://www.wikidata.org/wiki/' || wikidata_id AS url,
-       en = eng AS en_is_eng, fr = eng AS fr_is_eng, en = fr AS en_is_fr
+       coalesce(en = eng, false) AS en_is_eng, coalesce(fr = eng, false) AS fr_is_eng, coalesce(en = fr, false) AS en_is_fr
 FROM (SELECT wikidata_id, type, max(eng) AS eng,
              max(CASE WHEN language = 'en' THEN alias END) AS en,
              max(CASE WHEN language = 'fr' THEN alias END) AS fr

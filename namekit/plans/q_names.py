@@ -98,7 +98,7 @@ E3_SQL = f"regexp_replace({_comma_sql(O.strip_paren('alias'))}, '^,+|,+$', '', '
 SELECT wikidata_id, eng, alias, language, type, false AS anomalous, is_unchanged FROM (
   SELECT wikidata_id, eng, {E3_SQL} AS alias, language, type,
          {E3_SQL} IS NOT DISTINCT FROM alias AS is_unchanged FROM names_all)
-WHERE length(alias) > 0""")
+WHERE {O.strip('alias')} <> '' AND eng <> wikidata_id""")
 def q_e7(spark, d):
     return E.standardize_names(T.names(spark, d), "remove_parenthesis_permute_comma")
 

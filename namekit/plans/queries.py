@@ -20,26 +20,18 @@ def language_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(O.LANGUAGE_NAMES.items()), "code string, name string")
 
 
-ENTROPY_MIN_ROWS = 100
-
-
 def cleaned_names(spark: SparkSession, sf_dir: str, with_position: bool = False) -> DataFrame:
-    """names -> C1 -> C7 -> C3 (languages with >= 100 names)."""
+    """names -> C1 -> C7, all languages."""
     n = T.names(spark, sf_dir, with_position)
     n = C.keep_item_ids(n)
-    n = C.remove_parentheses(n)
-    return C.keep_above_threshold(n, ENTROPY_MIN_ROWS)
+    return C.remove_parentheses(n)
 
 
 CLEANED_SQL = f"""
-cleaned0 AS (
+cleaned AS (
   SELECT wikidata_id, {O.strip_paren('eng')} AS eng, {O.strip_paren('alias')} AS alias,
          language, type, doc_id, line_no
   FROM names_all WHERE starts_with(wikidata_id, 'Q')
-),
-cleaned AS (
-  SELECT * FROM cleaned0 WHERE language IN
-    (SELECT language FROM cleaned0 GROUP BY language HAVING count(*) >= {ENTROPY_MIN_ROWS})
 )"""
 
 

@@ -40,8 +40,8 @@ def get_spark(app: str = "namekit", cpus: int | str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a fresh scratch folder is
-    created and registered.
+    Only when a local session names none (tests) a fresh scratch folder is
+    created and registered; on a cluster that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -52,7 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         current = known.get() if known.isDefined() else None
     if not current:
-        # only when the session names no folder (local tests)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
         current = tempfile.mkdtemp(prefix="namekit-ckpt-")
     if not (sc._jsc.sc().getCheckpointDir().isDefined()):

@@ -33,10 +33,11 @@ def parse_entity_lines(lines: DataFrame, col: str = "value", keep_line_id: bool
     ``_corrupt`` marks lines that are not an entity object."""
     body = F.regexp_replace(F.col(col), r",\s*$", "")
     parsed = F.from_json(body, DUMP_SCHEMA, {"mode": "PERMISSIVE"})
-    cols = [parsed.alias("e")] + ([F.col("line_id")] if keep_line_id else [])
+    # the parser stops at the end of the object: what follows it makes the line a bad one
+    cols = [parsed.alias("e"), F.coalesce(F.rtrim(body).endswith("}"), F.lit(False)).alias("whole")] + ([F.col("line_id")] if keep_line_id else [])
     d = lines.select(*cols)
     out = d.select("e.*", *(["line_id"] if keep_line_id else []),
-                   (F.col("e").isNull() | F.col("e.id").isNull()).alias("_corrupt"))
+                   (F.col("e").isNull() | F.col("e.id").isNull() | ~F.col("whole")).alias("_corrupt"))
     return out
 
 

@@ -27,13 +27,14 @@ def infer_format(path: str, fmt: str | None = None) -> str:
 
 def _csv_options(fmt: str) -> dict:
     return {"header": "true", "sep": "\t" if fmt == "tsv" else ",", "quote": '"', "escape": '"',
-            "encoding": "UTF-8", "multiLine": "false"}
+            "encoding": "UTF-8", "multiLine": "false",
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_names(spark: SparkSession, path: str, fmt: str | None = None,
                columns: Sequence[str] | None = None) -> DataFrame:
     """A1: CSV/TSV (header, all strings, NA tokens -> null), JSON lines or
-    JSON records."""
+    JSON records (``json``: one a line as A3 writes them, or an array)."""
     fmt = infer_format(path, fmt)
     if fmt in ("csv", "tsv"):
         reader = spark.read.options(**_csv_options(fmt))
@@ -46,7 +47,10 @@ def read_names(spark: SparkSession, path: str, fmt: str | None = None,
     if fmt == "jsonl":
         return spark.read.json(path, schema=_string_schema(columns)) if columns else spark.read.json(path)
     if fmt == "json":
-        r = spark.read.option("multiLine", "true")
+        # records in one array (or spread over lines) need whole files; one record a line does not
+        first = spark.read.text(path).select(F.trim("value").alias("v")).where("v != ''").head()
+        lines = first is not None and first.v.startswith("{") and first.v.endswith("}")
+        r = spark.read.option("multiLine", str(not lines).lower())
         return r.json(path, schema=_string_schema(columns)) if columns else r.json(path)
     raise ValueError(f"unsupported format {fmt}")
 
