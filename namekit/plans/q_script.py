@@ -221,7 +221,7 @@ def _entropy_pair(spark, d):
     from .queries import cleaned_names, language_lookup
     lk = language_lookup(spark)
     from ..operators import clean as C
-    raw = C.keep_above_threshold(C.keep_item_ids(T.names(spark, d)), 100)
+    raw = C.keep_item_ids(T.names(spark, d))
     return D.script_entropy(raw, lk), D.script_entropy(cleaned_names(spark, d), lk)
 
 
@@ -237,8 +237,7 @@ def _entropy_ctes(src: str, prefix: str) -> list[str]:
 
 def _entropy_change_sql():
     from .queries import CLEANED_SQL
-    raw = """raw AS (SELECT * FROM names_all WHERE language IN
-               (SELECT language FROM names_all GROUP BY language HAVING count(*) >= 100))"""
+    raw = "raw AS (SELECT * FROM names_all WHERE starts_with(wikidata_id, 'Q'))"
     return O.with_names(CLEANED_SQL, raw, O.language_lookup_sql(),
                         *_entropy_ctes("raw", "b"), *_entropy_ctes("cleaned", "a"))
 
