@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most max_labels rows of three numbers
     sample = F.broadcast(_sample(labels, label_id_col, label_col, max_labels))
     marked = (rows.join(sample, rows.doc_id == sample.label_id, "left")
-              .select("text", F.coalesce(F.col("toxic") * HALVES + F.col("half"), F.lit(-1)).alias("part")))
+              .select("text", F.coalesce(F.col("toxic") * HALVES + F.col("half"), F.lit(-1)).alias("part"), "label_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((1 + 2 * HALVES, 2 * BUCKETS), np.int64)
@@ -290,14 +290,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 n, _, found = by_own_half(texts.slice(a, b - a), part[a:b])
                 x = [model.evidence(f, int(m), 1 + p % HALVES) for f, m, p in zip(found, n, part[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p >= HALVES for p in part[a:b]], pa.bool_()), pa.array(x, pa.list_(pa.float64()))],
-                    names=["toxic", "x"])
-
-    # at most max_labels rows of four numbers
-    seen = arrow_map(marked.where("part >= 0"), measure, "toxic boolean, x array<double>").toArrow()
-    x = np.array(seen.column("x").to_pylist()).reshape(-1, 4)
+                    [batch.column(2).slice(a, b - a), pa.array([p >= HALVES for p in part[a:b]], pa.bool_()),
+                     *[pa.array([v[k] for v in x], pa.float64()) for k in range(4)]], names=["label_id", "toxic", *numbers])
+
+    # a label is one row, the mean of its documents, whatever their number: at most max_labels rows of four numbers
+    numbers = [f"x{k}" for k in range(4)]
+    seen = (arrow_map(marked.where("part >= 0"), measure,
+                      "label_id long, toxic boolean, " + ", ".join(f"{c} double" for c in numbers))
+            .groupBy("label_id", "toxic").agg(*[F.avg(c).alias(c) for c in numbers]).toArrow().sort_by("label_id"))
+    x = np.stack([seen.column(c).to_numpy() for c in numbers], axis=1)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    model.curve = _logistic((x - model.mean) / model.scale, np.array(seen.column("toxic").to_pylist(), float))
+    model.curve = _logistic((x - model.mean) / model.scale, seen.column("toxic").to_numpy().astype(float))
     return model
 
 
