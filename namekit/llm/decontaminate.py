@@ -237,15 +237,15 @@ def _merged(ranges: list) -> list:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """Benchmark rows in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list, bool]]:
+    """Benchmark rows in blocks of bounded size, and whether a block is the last; each is read when it is asked for."""
     b = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = b.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.lit(64))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         rows = part.collect()
-        yield [r.i for r in rows], [r.t for r in rows]
+        yield [r.i for r in rows], [r.t for r in rows], k == n - 1
 
 
 def _searched(batch: pa.RecordBatch, column: int, index: TestIndex) -> Iterator[tuple[int, int, list]]:
@@ -263,10 +263,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = "n_words long, cover array<array<long>>, items array<string>, " \
             "matches array<struct<item_id:string,start:long,length:long>>"
     state = None
-    blocks = list(_blocks(benchmark, item_id_col, item_text_col))
-    for k, (ids, texts) in enumerate(blocks):
+    for ids, texts, last in _blocks(benchmark, item_id_col, item_text_col):
         index = spark.sparkContext.broadcast(TestIndex(ids, texts, window))
-        last, more = k == len(blocks) - 1, k > 0
+        more = state is not None
 
         def run(batches, index=index, last=last, more=more):
             for batch in batches:
@@ -317,7 +316,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     """The rows of ``docs``, all columns, without those that hold a window of the benchmark."""
     spark, out = docs.sparkSession, docs
     column = docs.columns.index(text_col)
-    for ids, texts in _blocks(benchmark, item_id_col, item_text_col):
+    for ids, texts, _ in _blocks(benchmark, item_id_col, item_text_col):
         index = spark.sparkContext.broadcast(TestIndex(ids, texts, window))
 
         def run(batches, index=index):
