@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from namekit.llm import (
     bytebpe,
     chunkdedup,
     decontaminate,
+    divergence,
+    linededup,
     pii,
     probminhash,
+    resample,
     sharding,
     tokencount,
     topk,
@@ -79,6 +83,19 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_sharding, op3_decontaminate, op4_chunkdedup, op5_urlfilter, op6_toxicity, op7_tokencount,
-    op8_pii, op9_bytebpe, op10_probminhash, pipeline)}
+    op8_pii, op9_bytebpe, op10_probminhash, op11_divergence, op12_linededup, op13_resample, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -170,4 +187,84 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-ORACLES = {"op1_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_urlfilter": OP5_SQL}
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT n, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT n) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)::HUGEINT) // (max(m) + max(v))::HUGEINT AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS m FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+allparts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS rank FROM allparts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT n, doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+hot AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null' || text)) >= 5 AND max(doc_id) IS NOT NULL),
+m AS (SELECT k.*, hot.key IS NOT NULL AND doc_id IS DISTINCT FROM top AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY n, doc_id
+"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = rf"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT n, unnest(w) AS word FROM d),
+tw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+every AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM tw)),
+crc AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+  FROM every, bits),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM tw JOIN crc USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    ((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT n, sum(gain) AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY n),
+scored AS (
+  SELECT n, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weight USING (n)),
+ranked AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (n)
+"""
+
+ORACLES = {"op1_topk": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_urlfilter": OP5_SQL,
+           "op11_divergence": OP11_SQL, "op12_linededup": OP12_SQL, "op13_resample": OP13_SQL}

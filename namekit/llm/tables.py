@@ -5,16 +5,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from namekit.session import checkpoint_dir, ship_package
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later job reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(rows: DataFrame) -> DataFrame:
     """``rows``, computed once, as a Parquet table under ``spark.checkpoint.dir``. It cuts the
     lineage like a checkpoint (which computes its last stage twice and is not compressed)."""
     spark = rows.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = table_path(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
