@@ -18,6 +18,17 @@ def small_side(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(lookup) if n <= max_rows else lookup
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: computed once, and of known size in later plans."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/part-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_global(df: DataFrame, key: str, aggs: list, label: str = "global") -> DataFrame:
     """Per-``key`` aggregates plus one ``global`` row in a single GROUPING
     SETS ((key), ()) aggregate (ROLLUP on one column)."""

@@ -88,3 +88,24 @@ def perm_values(name: str = "perm") -> str:
 
 def fact(x: str) -> str:
     return f"(CASE WHEN {x} <= 1 THEN 1 WHEN {x} = 2 THEN 2 WHEN {x} = 3 THEN 6 ELSE 24 END)"
+
+
+def permuted_sql(source: str, key: str, text: str, eng: str, name: str = "permuted") -> str:
+    """CTEs that end in ``name``: ``key`` and ``t``, the text in the order closest to eng."""
+    return f"""{name}_tk AS (
+  SELECT *, len(tok) AS n, len(rtok) AS m FROM (
+    SELECT {key}, {text} AS t, {eng} AS eng, {tokens(f"replace({text}, ',', '')")} AS tok,
+      {tokens(f"replace(strip_accents({text}), ',', '')")} AS rtok FROM {source})),
+{name}_cand AS (
+  SELECT k1.{key}, p.k, array_to_string(list_transform(p.idx, lambda i: tok[i]), ' ') AS name,
+         levenshtein({safe("""array_to_string(list_transform(
+             CASE WHEN m <= 4 THEN rp.idx ELSE list_concat(range(1, m - 3), list_transform(p4.idx, lambda i: i + m - 4)) END,
+             lambda i: rtok[i]), ' ')""")}, {safe('eng')}) AS d
+  FROM {name}_tk k1 JOIN perm p ON p.n = k1.n
+  LEFT JOIN perm rp ON rp.n = k1.m AND rp.k = p.k
+  LEFT JOIN perm p4 ON p4.n = 4 AND p4.k = p.k
+  WHERE k1.n BETWEEN 2 AND 4 AND p.k < least({fact('k1.n')}, {fact('k1.m')})),
+{name}_best AS (SELECT {key}, arg_min(name, (d, k)) AS name FROM {name}_cand GROUP BY {key}),
+{name} AS (
+  SELECT k1.{key}, CASE WHEN k1.n BETWEEN 2 AND 4 THEN b.name ELSE k1.t END AS t
+  FROM {name}_tk k1 LEFT JOIN {name}_best b ON b.{key} = k1.{key})"""

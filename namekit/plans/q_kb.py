@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import kb as B
 from ..sources import dump as DU
+from .em_sql import crossings_sql, em_sql
+from .oracle import perm_values, permuted_sql, strip, strip_paren
 from .registry import register
 
 ENTS_SQL = """
@@ -214,10 +216,8 @@ def q_b17(spark, d):
 PIPE_ALLOW = [("en", ["BASIC_LATIN"])]
 
 
-def _resource_sql() -> str:
-    from .oracle import strip_paren
-    from .q_script import tag_ctes
-    body = DUMP_NAMES_SQL + f"""
+def _resource_post_sql() -> str:
+    return f"""
 , pn AS (SELECT wikidata_id, name AS eng, alias, language, type FROM dnames WHERE starts_with(wikidata_id, 'Q'))
 , ptypes AS (SELECT wikidata_id, count(*) AS n_types, string_agg(type, '-' ORDER BY type) AS types
              FROM (SELECT DISTINCT wikidata_id, type FROM pn) GROUP BY wikidata_id)
@@ -226,6 +226,12 @@ def _resource_sql() -> str:
                 coalesce(CASE WHEN t.n_types > 1 THEN r.canon END, p.type) AS type
          FROM pn p JOIN ptypes t USING (wikidata_id) LEFT JOIN prules r ON r.types = t.types)
 , pc AS (SELECT wikidata_id, {strip_paren('eng')} AS eng, {strip_paren('alias')} AS alias, language, type FROM pd)
+"""
+
+
+def _resource_sql() -> str:
+    from .q_script import tag_ctes
+    body = DUMP_NAMES_SQL + _resource_post_sql() + """
 , unl AS (SELECT * FROM pc WHERE language <> 'en')
 , """ + ",\n".join(tag_ctes("unl", ["wikidata_id", "language"])) + """
 , """ + ",\n".join(tag_ctes("pc", ["wikidata_id", "language"], p="l_")[:3]) + """
@@ -245,13 +251,31 @@ def q_resource_build(spark, d):
     return build_resource(spark, d, allow)
 
 
-@register("crossing_experiment")
+_POST_SQL = _resource_post_sql()
+
+CROSSING_SQL = _sql(DUMP_NAMES_SQL + _POST_SQL + f"""
+, {perm_values()}
+, cn AS (SELECT row_number() OVER () AS rn, wikidata_id, eng, alias, language, type FROM pc)
+, {permuted_sql("cn", "rn", "alias", "eng")}
+, ex AS (SELECT language, eng, t AS alias, t IS NOT DISTINCT FROM alias AS is_unchanged
+         FROM cn JOIN permuted USING (rn) WHERE {strip('t')} <> '' AND eng <> wikidata_id)
+, {em_sql("ex", "alias", "eng", 5)}
+, {crossings_sql("al")}
+, g AS (SELECT language, coalesce(sum(n_cross), 0) AS x, count(*) AS n, count(*) FILTER (WHERE NOT is_unchanged) AS n_changed,
+               count(*) FILTER (WHERE is_unchanged) AS n_unchanged
+        FROM ex LEFT JOIN xc ON xc.text = ex.alias AND xc.eng = ex.eng GROUP BY GROUPING SETS ((language), ()))
+SELECT coalesce(language, 'global') AS language, round(CAST(x AS DOUBLE) / n, 8) AS mean_crossing_alignments, n_changed, n_unchanged
+FROM g""")
+
+
+@register("crossing_experiment", CROSSING_SQL)
 def q_crossing_experiment(spark, d):
     from .resource import crossing_experiment
     return crossing_experiment(spark, d)
 
 
-@register("f2_align_characters")
+@register("f2_align_characters", _sql(DUMP_NAMES_SQL + ", " + em_sql("dnames", "alias", "name", 5) + """
+SELECT text AS alias, eng, w, alignment FROM al"""))
 def q_f2(spark, d):
     from ..operators import align as FA
     from .resource import typed_names

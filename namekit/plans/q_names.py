@@ -286,7 +286,20 @@ def q_e13(spark, d):
                     P.edit_distance(F.col("alias"), F.col("name")).alias("distance"))
 
 
-@register("f5_pooled_vs_separate")
+def _f5_sql() -> str:
+    from .em_sql import crossings_sql, em_sql
+    from .q_kb import DUMP_NAMES_SQL, _sql
+    def mean(al, by):
+        on = " AND c.language = d.language" if by else ""
+        return f"""SELECT coalesce(d.language, 'global') AS language, round(CAST(sum(coalesce(n_cross, 0)) AS DOUBLE) / count(*), 8) AS mca
+  FROM dnames d LEFT JOIN {al} c ON c.text = d.alias AND c.eng = d.name{on} GROUP BY GROUPING SETS ((d.language), ())"""
+    return _sql(DUMP_NAMES_SQL + ", " + em_sql("dnames", "alias", "name", 3, name="pool") + ", " + crossings_sql("pool", "px")
+                + ", " + em_sql("dnames", "alias", "name", 3, by="language", name="sep") + ", " + crossings_sql("sep", "sx") + f"""
+SELECT language, a.mca AS mca_pooled, b.mca AS mca_separate
+FROM ({mean("px", False)}) a JOIN ({mean("sx", True)}) b USING (language)""")
+
+
+@register("f5_pooled_vs_separate", _f5_sql())
 def q_f5(spark, d):
     """F2 trained once on all languages and once per language; mean
     crossings of both, joined per language."""
