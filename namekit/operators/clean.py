@@ -7,7 +7,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import measured_side
 
 from ..functions.text import strip_parenthesis, unicode_strip
 
@@ -41,13 +41,12 @@ def language_counts(names: DataFrame, lang_col: str = LANG) -> DataFrame:
 def keep_above_threshold(names: DataFrame, m: int, lang_col: str = LANG) -> DataFrame:
     """Languages with at least ``m`` rows (no-op when m <= 0).
 
-    The per-language count is tiny (one row per language); AQE broadcasts it
-    for the semi join after measuring it.
+    The languages to keep are counted first; the names are not moved by language.
     """
     if m <= 0:
         return names
     big = language_counts(names, lang_col).filter(F.col("n") >= m).select(lang_col)
-    return names.join(big, on=lang_col, how="left_semi")
+    return names.join(measured_side(big), on=lang_col, how="left_semi")
 
 
 def dropped_languages(names: DataFrame, m: int, lang_col: str = LANG) -> DataFrame:
@@ -156,7 +155,7 @@ def add_language_name(df: DataFrame, lookup: DataFrame, code_col: str = LANG,
     broadcast.
     """
     lk = lookup.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
-    joined = df.join(small_side(lk), F.col(code_col) == F.col("_code"), "left")
+    joined = df.join(measured_side(lk), F.col(code_col) == F.col("_code"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_name"), F.col(code_col))).drop("_code", "_name")
 
 
@@ -165,7 +164,7 @@ def drop_flagged_languages(names: DataFrame, decisions: DataFrame,
     """Remove languages whose decision row says ``should_drop``."""
     flagged = (decisions.filter(F.col("should_drop"))
                .select(F.col("language_code").alias(lang_col)).distinct())
-    return names.join(small_side(flagged), on=lang_col, how="left_anti")
+    return names.join(measured_side(flagged), on=lang_col, how="left_anti")
 
 
 def distinct_aliases(names: DataFrame, col: str = ALIAS) -> DataFrame:

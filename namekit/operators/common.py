@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lookup tables keyed by language code (long names, script allow-lists, drop
-# decisions) have at most one row per code; beyond this many rows a plain
-# (sort-merge or AQE-chosen) join is used instead of a broadcast.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def small_side(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a caller-supplied lookup only after checking its size (one
-    small job over the lookup itself, never over the big side)."""
-    n = lookup.limit(max_rows + 1).count()
-    return F.broadcast(lookup) if n <= max_rows else lookup
+#: Bytes of a broadcast side, measured uncompressed, at most. Beyond it a plain join is planned, which Spark may
+#: still split where keys are skewed.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -29,6 +21,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The small side of a join (per-language statistics, a caller's lookup), computed once and broadcast if its
+    rows have at most ``max_bytes``. One job computes it, one reads its size; neither touches the big side."""
+    side = materialize(df)
+    size = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(side) if size <= max_bytes else side
+
+
 def with_global(df: DataFrame, key: str, aggs: list, label: str = "global") -> DataFrame:
     """Per-``key`` aggregates plus one ``global`` row in a single GROUPING
     SETS ((key), ()) aggregate (ROLLUP on one column)."""

@@ -11,7 +11,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, with_global
+from .common import measured_side, with_global
 
 ID, ENG, ALIAS, LANG, TYPE = "wikidata_id", "eng", "alias", "language", "type"
 TYPE_ORDER = ["LOC", "ORG", "PER"]
@@ -163,7 +163,7 @@ def types_per_language(names: DataFrame, lookup: DataFrame,
     t = add_language_name(t, lookup, LANG, "language_name")
     if wiki_languages is not None:
         w = wiki_languages.select(F.col("name").alias("_w")).distinct()
-        t = (t.join(small_side(w), F.col("language_name") == F.col("_w"), "left")
+        t = (t.join(measured_side(w), F.col("language_name") == F.col("_w"), "left")
              .withColumn("has_wikipedia", F.col("_w").isNotNull()).drop("_w"))
     else:
         t = t.withColumn("has_wikipedia", F.lit(False))

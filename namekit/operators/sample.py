@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS
+from .common import materialize, measured_side
 
 DEFAULT_SEED = 1917
 BUCKETS = 64
@@ -79,9 +79,7 @@ def sample_by_language(df: DataFrame, n: int, seed: int = DEFAULT_SEED, lang: st
         return sample_balanced(df, lang, n, seed, key_cols)
     labels = sample_empirical(df, n, seed, key_cols).select(lang)
     quota = labels.groupBy(lang).agg(F.count(F.lit(1)).alias("_q"))
-    # the quota table has at most n rows (it counts n labels): a proven bound
-    q = F.broadcast(quota) if n <= MAX_BROADCAST_ROWS else quota
-    j = df.join(q, on=lang, how="inner")
+    j = df.join(measured_side(quota), on=lang, how="inner")
     out = top_k_per_group(j, [lang], order_key(row_key(df, key_cols), f"{seed}|rows"), "_q")
     return out.drop("_q")
 
@@ -90,11 +88,10 @@ def sample_smoothed(df: DataFrame, n: int, factor: float = 0.7, seed: int = DEFA
                     lang: str = "language", key_cols: Sequence[str] | None = None) -> DataFrame:
     """H4: n rows without replacement, row weight = (language share)^factor
     (Efraimidis-Spirakis keys -ln(u)/w, smallest n)."""
-    counts = df.groupBy(lang).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(df.groupBy(lang).agg(F.count(F.lit(1)).alias("_c")))
     total = counts.agg(F.sum("_c")).first()[0] or 1          # scalar lookup
     w = counts.select(lang, F.pow(F.col("_c") / F.lit(float(total)), F.lit(factor)).alias("_w"))
-    # one row per language; AQE broadcasts it once its measured size is small
-    j = df.join(w, on=lang, how="inner")
+    j = df.join(measured_side(w), on=lang, how="inner")
     es = -F.log(uniform(row_key(df, key_cols), seed)) / F.col("_w")
     return j.withColumn("_es", es).orderBy("_es").limit(n).drop("_es", "_w")
 

@@ -2,8 +2,8 @@
 
 Per-language statistics (expected block, prototype histogram) are two grouped
 aggregates whose result has one row per language (or per language and block);
-they are joined back to the names, where AQE turns the join into a broadcast
-after measuring the small side. No per-language loop, no Python UDF, and a
+they are computed once, measured, and broadcast to the names, which are not moved
+by their language. No per-language loop, no Python UDF, and a
 skewed language only means a bigger map-side partial aggregate.
 """
 
@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import measured_side
 
 from ..functions import script as S
 
@@ -138,7 +138,7 @@ def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
     ``extra_taggers`` maps a name to a function ``DataFrame columns ->
     nullable boolean Column`` (custom tagger; null = abstain); ``method`` may
     be a function over the array of +1/-1/0 votes (custom aggregator)."""
-    stats = language_stats(names, lang, alias)
+    stats = measured_side(language_stats(names, lang, alias))
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
                        F.col("expected_block"), F.col("prototype"), critical)
@@ -167,7 +167,7 @@ def apply_script_allowlist(names: DataFrame, allow: DataFrame, lang: str = LANG,
     ``allow`` is (language_code, scripts array<string>), one row per language.
     """
     a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
-    j = names.join(small_side(a), F.col(lang) == F.col("_lc"), "left")
+    j = names.join(measured_side(a), F.col(lang) == F.col("_lc"), "left")
     listed = F.col("_lc").isNotNull()
     # a listed language without scripts allows none, and a null alias has no allowed script
     valid = ~listed | F.coalesce(F.array_contains(F.col("_scripts"), S.most_common_block(F.col(alias))), F.lit(False))
@@ -188,13 +188,14 @@ def standardize_script_flagged(names: DataFrame, allow: DataFrame,
     rows, so they are computed per language over the unlisted rows).
     """
     a = allow.select(F.col("language_code").alias("_lc"), F.col("scripts").alias("_scripts"))
-    j = names.join(small_side(a), F.col(lang) == F.col("_lc"), "left")
+    a = measured_side(a)
+    j = names.join(a, F.col(lang) == F.col("_lc"), "left")
     if method == "baseline":
         anomalous = F.lit(False)
         tagged = j
     else:
-        unlisted = names.join(small_side(a.select(F.col("_lc").alias(lang))), on=lang, how="left_anti")
-        stats = language_stats(unlisted, lang, alias)
+        unlisted = j.filter(F.col("_lc").isNull())
+        stats = measured_side(language_stats(unlisted, lang, alias))
         tagged = j.join(stats, on=lang, how="left")
         tagged = (tagged.withColumn("_seq", S.block_entries(F.col(alias)))
                   .withColumn("_hist", S.histogram_of_entries(F.col("_seq")))
@@ -204,7 +205,8 @@ def standardize_script_flagged(names: DataFrame, allow: DataFrame,
         anomalous = aggregate_votes([_vote(t) for t in tags.values()], method)
     if "_block" not in tagged.columns:
         tagged = tagged.withColumn("_block", S.most_common_block(F.col(alias)))
-    listed_ok = F.array_contains(F.col("_scripts"), F.col("_block"))
+    # as in the allow-list alone: a listed language without scripts allows none, a null alias has no allowed script
+    listed_ok = F.coalesce(F.array_contains(F.col("_scripts"), F.col("_block")), F.lit(False))
     kept = F.when(F.col("_lc").isNotNull(), listed_ok).otherwise(~anomalous)
     return tagged.withColumn("kept", kept).select(*names.columns, "kept")
 

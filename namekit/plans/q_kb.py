@@ -61,28 +61,48 @@ def _sorted_join(c):
     return F.array_join(F.array_sort(c), ",")
 
 
+def _dump_files(spark, d):
+    """The dump as files, sorted by entity over all of them, with two kinds of bad lines after every entity whose
+    number ends in 0: text after the object, and two objects."""
+    from ..sources.io import scratch_path
+    path = scratch_path(spark, "dump")
+    lines = DU.build_dump_lines(spark, d).withColumn("key", F.coalesce(F.get_json_object("value", "$.id"), F.lit("")))
+    bad = lines.where("key LIKE 'Q%0'").select(F.explode(F.array(*[
+        F.struct(F.concat(t, F.lit(",")).alias("value"), F.concat("key", F.lit(k)).alias("key"))
+        for k, t in (("!", F.format_string('{"id":"%s"} text}', "key")), ("!!", F.format_string('{"id":"%s"}{"id":"Q1"}', "key")))])).alias("b")).select("b.*")
+    lines.unionByName(bad).orderBy("key", "value").select("value").write.text(path)
+    return path
+
+
+_DUMP_LINES_SQL = """
+, dump_lines AS (
+  SELECT id AS key, id, TRUE AS good FROM ents
+  UNION ALL SELECT '', NULL, FALSE FROM range(2)
+  UNION ALL SELECT id || b, NULL, FALSE FROM ents, (VALUES ('!'), ('!!')) v(b) WHERE id LIKE 'Q%0')"""
+
+
 @register("a5_read_entity_dump", _sql("""
 SELECT e.id, (SELECT count(*) FROM labels l WHERE l.id = e.id) AS n_labels,
        CAST(len(coalesce(e.parts, []::BIGINT[])) + CASE WHEN e.o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS BIGINT) AS n_p31
 FROM ents e"""))
 def q_a5(spark, d):
-    e = _entities(spark, d)
+    e = DU.read_entity_dump(spark, _dump_files(spark, d))
     return e.select("id", F.size("labels").cast("long").alias("n_labels"),
                     F.size(F.coalesce(F.col("claims.P31"), F.array())).cast("long").alias("n_p31"))
 
 
-@register("a6_dump_decode_errors", _sql("""
-, lines AS (SELECT to_json({'id': id}) || ',' AS line FROM ents UNION ALL SELECT '[' UNION ALL SELECT ']')
-, v AS (SELECT CASE WHEN json_valid(b) THEN json_type(b) END = 'OBJECT' AS ok
-       FROM (SELECT regexp_replace(line, ',\\s*$', '') AS b FROM lines))
-SELECT count(*) FILTER (WHERE ok IS NOT TRUE) AS n_errors, count(*) FILTER (WHERE ok) AS n_entities FROM v"""))
+@register("a6_dump_decode_errors", _sql(_DUMP_LINES_SQL + """
+SELECT count(*) FILTER (WHERE NOT good) AS n_errors, count(*) FILTER (WHERE good) AS n_entities FROM dump_lines"""))
 def q_a6(spark, d):
-    return DU.dump_decode_errors(DU.parse_entity_lines(DU.build_dump_lines(spark, d)))
+    return DU.dump_decode_errors(DU.read_entity_dump(spark, _dump_files(spark, d), with_errors=True))
 
 
-@register("a7_take_dump_prefix", _sql("SELECT id FROM ents ORDER BY id LIMIT 100"))
+@register("a7_take_dump_prefix", _sql(_DUMP_LINES_SQL + """
+SELECT id, CAST(line_id AS BIGINT) AS line_id
+FROM (SELECT *, row_number() OVER (ORDER BY key) AS line_id FROM dump_lines) WHERE good AND line_id <= 100"""))
 def q_a7(spark, d):
-    return DU.take_dump_prefix(_entities(spark, d), 100, "id").select("id")
+    parsed = DU.read_entity_dump(spark, _dump_files(spark, d), with_errors=True)
+    return DU.take_dump_prefix(parsed, 100).select("id", "line_id")
 
 
 @register("b1_simplify_entities", _sql("""

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .io import is_one_json_value, with_line_number
+
 SNAK = T.StructType([T.StructField("mainsnak", T.StructType([
     T.StructField("snaktype", T.StringType()),
     T.StructField("datavalue", T.StructType([
@@ -33,8 +35,8 @@ def parse_entity_lines(lines: DataFrame, col: str = "value", keep_line_id: bool
     ``_corrupt`` marks lines that are not an entity object."""
     body = F.regexp_replace(F.col(col), r",\s*$", "")
     parsed = F.from_json(body, DUMP_SCHEMA, {"mode": "PERMISSIVE"})
-    # the parser stops at the end of the object: what follows it makes the line a bad one
-    cols = [parsed.alias("e"), F.coalesce(F.rtrim(body).endswith("}"), F.lit(False)).alias("whole")] + ([F.col("line_id")] if keep_line_id else [])
+    # this parser stops at the end of the object: what follows it makes the line a bad one
+    cols = [parsed.alias("e"), is_one_json_value(body).alias("whole")] + ([F.col("line_id")] if keep_line_id else [])
     d = lines.select(*cols)
     out = d.select("e.*", *(["line_id"] if keep_line_id else []),
                    (F.col("e").isNull() | F.col("e.id").isNull() | ~F.col("whole")).alias("_corrupt"))
@@ -44,10 +46,9 @@ def parse_entity_lines(lines: DataFrame, col: str = "value", keep_line_id: bool
 def read_entity_dump(spark: SparkSession, path: str, with_errors: bool = False) -> DataFrame:
     """A5: read a dump folder/file; good entities only unless ``with_errors``.
 
-    ``line_id`` increases with the file order (partition index in the high
-    bits), so A7 can take a prefix by line order without a global index.
+    ``line_id`` is the number of the line, from 1, over the files in the order of their paths.
     """
-    lines = spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id())
+    lines = with_line_number(spark.read.text(path), "line_id").withColumn("line_id", F.col("line_id") + 1)
     parsed = parse_entity_lines(lines, "value", keep_line_id=True)
     return parsed if with_errors else parsed.filter(~F.col("_corrupt")).drop("_corrupt")
 
@@ -58,9 +59,10 @@ def dump_decode_errors(parsed_with_errors: DataFrame) -> DataFrame:
                                   F.count_if(~F.col("_corrupt")).alias("n_entities"))
 
 
-def take_dump_prefix(entities: DataFrame, max_docs: int, order_col: str = "line_id") -> DataFrame:
-    """The first ``max_docs`` entities in file (or given) order."""
-    return entities.orderBy(order_col).limit(max_docs)
+def take_dump_prefix(parsed: DataFrame, max_docs: int) -> DataFrame:
+    """The good entities among the first ``max_docs`` lines; bad lines count as lines."""
+    kept = parsed.filter(F.col("line_id") <= max_docs)
+    return kept.filter(~F.col("_corrupt")).drop("_corrupt") if "_corrupt" in kept.columns else kept
 
 
 def build_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import na_to_null, unicode_strip
 
+#: Records of one CSV or TSV file, at most.
+CSV_RECORDS = 2_000_000
 NAME_COLUMNS = ["wikidata_id", "eng", "alias", "language", "type"]
 
 
@@ -31,27 +33,83 @@ def _csv_options(fmt: str) -> dict:
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def is_one_json_value(text: F.Column) -> F.Column:
+    """The whole text is one JSON value. Spark's JSON functions stop at a value's end and overlook what follows, so the
+    value stands first in an object here, whose second field is found only if nothing else comes between."""
+    probe = F.concat(F.lit('{"value":'), text, F.lit(',"the end":1}'))
+    return F.coalesce(F.get_json_object(probe, "$['the end']") == "1", F.lit(False))
+
+
+def _files_where(lines: DataFrame, odd) -> list[str]:
+    """Paths of the files with a line for which ``odd`` holds (one scan; at most one row a file comes back)."""
+    found = lines.select(F.col("_metadata.file_path").alias("f"), odd.alias("odd")).where("odd").select("f").distinct()
+    return [r.f for r in found.collect()]
+
+
+def _in_files(df: DataFrame, files: list[str], inside: bool = True) -> DataFrame:
+    """Rows of the given files (or of all others); Spark lists only those files."""
+    hit = F.col("_metadata.file_path").isin(files)
+    return df.where(hit if inside else ~hit)
+
+
+def _read_csv(spark: SparkSession, path: str, fmt: str, columns: Sequence[str] | None) -> DataFrame:
+    """Records may hold line breaks in quotes. A file with a line whose quotes don't pair up is read as a
+    whole by one task; all other files are split as usual."""
+    # an empty line inside quotes has no quote, but the lines around it have
+    odd = F.pmod(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'))), F.lit(2)) == 1
+    whole = _files_where(spark.read.text(path), odd)
+
+    def reader(multi: bool):
+        r = spark.read.options(**_csv_options(fmt)).option("multiLine", str(multi).lower())
+        return r.schema(_string_schema(columns)) if columns else r.option("inferSchema", "false")
+    split = reader(False).csv(path)
+    if not whole:
+        return split
+    named = lambda df: df.select(*[F.col(f"`{c}`") for c in names])
+    multi = reader(True).csv(path)
+    names = multi.columns
+    return named(_in_files(split, whole, False)).unionByName(named(_in_files(multi, whole)))
+
+
+def _read_json(spark: SparkSession, path: str, columns: Sequence[str] | None) -> DataFrame:
+    """Each file is either one record a line or one JSON value (a record or an array of records). A file of the
+    second kind that is anything else ends the job with an error, as do lines that are no records."""
+    text = spark.read.text(path)
+    blank = F.trim("value") == ""
+    whole = _files_where(text, ~blank & ~F.col("value").rlike(r"^\s*\{.*\}\s*$"))
+    if not columns and not whole:
+        return spark.read.option("mode", "FAILFAST").json(path)
+    files = spark.read.text(path, wholetext=True)
+
+    def strict(df: DataFrame) -> DataFrame:
+        bad = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 200)))
+        return df.where(F.when(~is_one_json_value(F.col("value")), bad.cast("boolean")).otherwise(True))
+
+    one = strict(_in_files(files, whole)) if whole else None
+    lines = strict((_in_files(text, whole, False) if whole else text).where(~blank))
+    if not columns:
+        records = F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+        single = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+        keys = lines.select("value").unionByName(one.select(single.alias("value"))) if one is not None else lines
+        keys = keys.select(F.explode(F.coalesce(records, F.array(F.from_json("value", T.MapType(T.StringType(), T.StringType()))))).alias("m"))
+        columns = sorted(r.k for r in keys.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect())
+    schema = T.ArrayType(_string_schema(columns))  # a single record counts as an array of one
+    parts = [x.select(F.inline(F.from_json("value", schema))) for x in (lines, one) if x is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def read_names(spark: SparkSession, path: str, fmt: str | None = None,
                columns: Sequence[str] | None = None) -> DataFrame:
-    """A1: CSV/TSV (header, all strings, NA tokens -> null), JSON lines or
-    JSON records (``json``: one a line as A3 writes them, or an array)."""
+    """A1: CSV/TSV (header, all strings, NA tokens -> null; line breaks allowed in quotes), JSON lines, or JSON
+    (``json``: files of one record a line, as A3 writes them, and files of one record or one array, side by side)."""
     fmt = infer_format(path, fmt)
     if fmt in ("csv", "tsv"):
-        reader = spark.read.options(**_csv_options(fmt))
-        if columns:
-            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        else:
-            reader = reader.option("inferSchema", "false")
-        df = reader.csv(path)
-        return df.select(*[na_to_null(F.col(c)).alias(c) for c in df.columns])
+        df = _read_csv(spark, path, fmt, columns)
+        return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
     if fmt == "jsonl":
         return spark.read.json(path, schema=_string_schema(columns)) if columns else spark.read.json(path)
     if fmt == "json":
-        # records in one array (or spread over lines) need whole files; one record a line does not
-        first = spark.read.text(path).select(F.trim("value").alias("v")).where("v != ''").head()
-        lines = first is not None and first.v.startswith("{") and first.v.endswith("}")
-        r = spark.read.option("multiLine", str(not lines).lower())
-        return r.json(path, schema=_string_schema(columns)) if columns else r.json(path)
+        return _read_json(spark, path, columns)
     raise ValueError(f"unsupported format {fmt}")
 
 
@@ -65,6 +123,8 @@ def write_names(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
     fmt = infer_format(path, fmt)
     w = df.write.mode(mode)
     if fmt in ("csv", "tsv"):
+        # a file with line breaks in its fields is read by one task, so files stay bounded
+        w = w.option("maxRecordsPerFile", CSV_RECORDS)
         w.options(**_csv_options(fmt)).option("emptyValue", "").csv(path)
     elif fmt in ("json", "jsonl"):
         w.option("ignoreNullFields", "false").json(path)
@@ -97,7 +157,7 @@ def write_by_language_and_type(df: DataFrame, path: str, fmt: str = "parquet") -
 def read_code_lookup(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object file {code: name} -> (code, name). Lookup files are
     small (one per file is read whole)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
     return raw.select(F.explode(m).alias("code", "name"))
 
@@ -112,18 +172,21 @@ def with_line_number(df: DataFrame, out: str = "line") -> DataFrame:
     """Exact 0-based line number in (file path, position) order for a file
     scan, JVM-side: rows are keyed by their file block
     (``_metadata.file_path``, ``file_block_start``) and their position in the
-    block (monotonically increasing id minus the block's first id); one small
-    aggregate gives the row count of every block, and a running sum over the
-    blocks (one row per block) gives each block's offset."""
+    block (monotonically increasing id minus the block's first id); one scan counts the rows of
+    every block, and a running sum over the blocks (one row per block) gives each block's offset. The offsets
+    are broadcast when small, so the lines themselves are not moved."""
     from pyspark.sql import Window
+
+    from ..operators.common import measured_side
     d = df.select("*", F.col("_metadata.file_path").alias("_f"),
                   F.col("_metadata.file_block_start").alias("_s"),
                   F.monotonically_increasing_id().alias("_m"))
     blocks = d.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(blocks.select("_f", "_s", "_m0", "_off"), on=["_f", "_s"], how="inner")
-    return j.withColumn(out, F.col("_off") + F.col("_m") - F.col("_m0")).drop("_f", "_s", "_m", "_m0", "_off")
+    blocks = measured_side(blocks.select("_f", "_s", (F.col("_off") - F.col("_m0")).alias("_shift")))
+    j = d.join(blocks, on=["_f", "_s"], how="inner")
+    return j.withColumn(out, F.col("_shift") + F.col("_m")).drop("_f", "_s", "_m", "_shift")
 
 
 def _indexed_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
