@@ -141,12 +141,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     copies = F.when(F.col("n") * parts >= total, spread).otherwise(1)
     hot = hot.select("h", "top", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     found_path = table_path(spark)
-    salted.join(hot, ["h", "salt"]).select("h", "top", "doc_id", "row", "pos").distinct().write.parquet(found_path)
+    salted.join(hot, ["h", "salt"]).select("h", "salt", "top", "doc_id", "row", "pos").distinct().write.parquet(found_path)
     found = spark.read.parquet(found_path)
 
     own = F.when(F.col("doc_id").isNull(), F.col("row"))
     few = found.select("h", "doc_id", own.alias("own")).distinct().groupBy("h").count().where(F.col("count") < min_docs).select("h")
-    drops = found.where(F.col("top").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("top"))).join(few, "h", "left_anti")
+    few = hot.select("h", "salt").join(few, "h")  # so that a hash on many lines stays spread
+    drops = found.where(F.col("top").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("top"))).join(few, ["h", "salt"], "left_anti")
     drops_path = table_path(spark)
     drops.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("drop")).write.parquet(drops_path)
     for path in (keys_path, hot_path, found_path):
