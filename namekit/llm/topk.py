@@ -8,8 +8,11 @@ the order of these bounds, and every leaf raises the k-th scores for the rest of
 meets in one task is one tree and one block of queries, whatever the size of the data, and every
 query meets every shard, so results are exact.
 
-Defined results: vectors that are null, or hold null or non-finite components or ones beyond
-MAX_COMPONENT after quantising, take no part; a query meets the vectors of its own length only; a row
+Products are computed in doubles or 64-bit integers where their bound shows that these are exact, else in
+Python's integers.
+
+Defined results: vectors that are null, or hold null or non-finite components, take no part; a score among the best that
+64 bits cannot hold ends the job with an error; a query meets the vectors of its own length only; a row
 is never its own candidate, but another row of the same id is; ties go to the smaller vec_id; fewer
 candidates give fewer rows. Null ids take no part.
 """
@@ -32,7 +35,8 @@ SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
 LEAF_ROWS = 256
 SCALE = 256
-MAX_COMPONENT = 1 << 24
+#: Stands for no score yet; lower than any product of doubles.
+NONE = -(1 << 2100)
 
 
 class BallTree:
@@ -81,8 +85,10 @@ class BallTree:
     def search(self, queries: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray):
         """(scores, ids, found) of each query's best k here, whatever can still reach ``floor``."""
         n = len(queries)
-        exact = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * queries.shape[1] < 2 ** 53
-        kind = np.float64 if exact else np.int64
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * queries.shape[1]
+        if most >= 2 ** 62:
+            return self.search_wide(queries, rows, k)
+        kind = np.float64 if most < 2 ** 53 else np.int64
         whole, stock = queries.astype(kind), self.vectors.astype(kind)
         real = queries.astype(np.float64)
         norms = np.sqrt((real ** 2).sum(1))
@@ -127,22 +133,37 @@ class BallTree:
         return best, best_id, best > np.iinfo(np.int64).min
 
 
+    def search_wide(self, queries: np.ndarray, rows: np.ndarray, k: int):
+        """As ``search``, for products beyond 64 bits: every vector is met, in Python's integers."""
+        stock = np.vectorize(int, otypes=[object])(self.vectors) if self.vectors.size else self.vectors.astype(object)
+        best = np.full((len(queries), k), NONE, object)
+        best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+        for i, query in enumerate(queries):
+            score = stock @ np.array([int(x) for x in query], object) if stock.shape[1] else np.zeros(len(stock), object)
+            top = sorted((-s, d) for s, d, r in zip(score, self.ids.tolist(), self.rows.tolist(), strict=True) if r != rows[i])[:k]
+            for j, (s, d) in enumerate(top):
+                best[i, j], best_id[i, j] = -s, d
+        return best, best_id, best > NONE
+
+
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array of long) of the vectors that take part."""
+    """vec_id, v (array of double, components times SCALE) of the vectors that take part."""
     x = F.col(vector_col).cast("array<double>")
+    finite = F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
-            .where(F.coalesce(F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c)
-                                       & (F.abs(c) < F.lit(MAX_COMPONENT / SCALE))), F.lit(False)))
-            .select("vec_id", F.transform("x", lambda c: F.floor(F.lit(SCALE) * c).cast("long")).alias("v")))
+            .where(F.coalesce(finite, F.lit(False)))
+            .select("vec_id", F.transform("x", lambda c: F.lit(float(SCALE)) * c).alias("v")))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int64)
+    """floor of the scaled components: whole numbers, exact in doubles."""
+    return np.floor(np.stack(column.to_list()).astype(np.float64))
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
-    v = _stack(part.v) if int(part["size"].iloc[0]) else np.zeros((len(part), 0), np.int64)
-    tree = BallTree(v.astype(np.int32), part.vec_id.to_numpy(), part.row.to_numpy())
+    v = _stack(part.v) if int(part["size"].iloc[0]) else np.zeros((len(part), 0))
+    v = v.astype(np.int32) if np.abs(v).max(initial=0) < 2 ** 31 else v
+    tree = BallTree(v, part.vec_id.to_numpy(), part.row.to_numpy())
     return pd.DataFrame({"size": [int(part["size"].iloc[0])], "shard": [int(part.shard.iloc[0])], "tree": [pickle.dumps(tree)]})
 
 
@@ -171,11 +192,15 @@ def top_k(vectors: DataFrame, query_every: int, k: int = 5, id_col: str = "vec_i
         if not len(queries_) or not len(tree):
             return empty
         ball: BallTree = pickle.loads(tree.tree.iloc[0])
-        v = _stack(queries_.v) if len(queries_.v.iloc[0]) else np.zeros((len(queries_), 0), np.int64)
+        v = _stack(queries_.v) if len(queries_.v.iloc[0]) else np.zeros((len(queries_), 0))
         floor = queries_.floor.to_numpy()
         score, vec_id, found = ball.search(v, queries_.row.to_numpy(), k, floor)
         keep = found & (score >= floor[:, None])
         q, _ = np.nonzero(keep)
+        if score.dtype == object:
+            if any(not -(1 << 63) <= s < 1 << 63 for s in score[keep]):
+                raise OverflowError("a score among the best does not fit in 64 bits")
+            score = np.where(keep, score, 0).astype(np.int64)
         return pd.DataFrame({"row": queries_.row.to_numpy()[q], "query_id": queries_.vec_id.to_numpy()[q],
                              "vec_id": vec_id[keep], "score": score[keep]})
 
