@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import characters
+from .script import _let, characters
 
 NUM_PERM = 128
 
@@ -26,56 +27,28 @@ def char_jaccard(a, b) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(sa, sb)) / union)
 
 
-_MERSENNE = (1 << 61) - 1
-_MAX_HASH = (1 << 32) - 1
+#: Modulus of the permutations x -> (a x + b) mod P of 28-bit character hashes; products stay within 64 bits.
+PRIME = (1 << 31) - 1
 
 
-def _permutations(num_perm: int, seed: int = 1):
-    import numpy as np
-    gen = np.random.RandomState(seed)
-    a = gen.randint(1, _MERSENNE, size=num_perm, dtype=np.uint64)
-    b = gen.randint(0, _MERSENNE, size=num_perm, dtype=np.uint64)
-    return a, b
+def permutations(num_perm: int = NUM_PERM, seed: int = 1) -> list[tuple[int, int]]:
+    """(a, b) of each permutation: 28 bits of digests of seed and number."""
+    h = lambda k, i: int(hashlib.md5(f"{seed}|{k}|{i}".encode()).hexdigest()[:7], 16)
+    return [(h("a", i) + 1, h("b", i)) for i in range(num_perm)]
 
 
-def _signature(text: str, a, b):
-    """MinHash signature of the character set: 32-bit SHA-1 prefix per
-    character, universal hashing (a*h + b) mod (2^61 - 1) per permutation."""
-    import hashlib
-    import numpy as np
-    sig = np.full(len(a), _MAX_HASH, dtype=np.uint64)
-    if not text:
-        return sig
-    hs = np.array([int.from_bytes(hashlib.sha1(ch.encode("utf-8")).digest()[:4], "little")
-                   for ch in set(text)], dtype=np.uint64)
-    # (a*h + b) mod p with 64-bit wrap-around, as in the common implementation
-    phv = ((np.outer(hs, a) + b) % np.uint64(_MERSENNE)) & np.uint64(_MAX_HASH)
-    return np.minimum(sig, phv.min(axis=0))
+def minhash_signature(text, num_perm: int = NUM_PERM) -> Column:
+    """MinHash signature of a string's character set: per permutation the least value of its characters (the
+    prime itself for an empty string)."""
+    perms = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in permutations(num_perm)])
+    hashes = F.transform(char_set(text), lambda c: F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long"))
+    return _let(hashes, lambda hs: F.transform(perms, lambda p: F.coalesce(
+        F.array_min(F.transform(hs, lambda h: (p["a"] * h + p["b"]) % PRIME)), F.lit(PRIME).cast("long"))))
 
 
 def minhash_jaccard(a, b, num_perm: int = NUM_PERM) -> Column:
-    """G1: share of equal MinHash signature positions (estimates G2).
-
-    A vectorised pandas UDF (Arrow batches, numpy per row): the per-row work
-    is a few hundred multiply-adds, far cheaper in numpy than as nested
-    higher-order functions.
-    """
-    if "udf" not in _UDF:
-        _UDF["udf"] = F.pandas_udf(_minhash_batch, "double")
-    return _UDF["udf"](_c(a), _c(b), F.lit(num_perm))
-
-
-_UDF: dict = {}
-
-
-def _minhash_batch(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.Series:
-    import numpy as np
-    num_perm = int(k.iloc[0]) if len(k) else NUM_PERM
-    pa, pb = _permutations(num_perm)
-    out = np.empty(len(x), dtype=np.float64)
-    for i, (u, v) in enumerate(zip(x, y)):
-        if u is None or v is None:
-            out[i] = np.nan
-            continue
-        out[i] = float(np.count_nonzero(_signature(u, pa, pb) == _signature(v, pa, pb))) / num_perm
-    return pd.Series(out)
+    """G1: share of equal MinHash signature positions (estimates G2); null if one of the texts is. The
+    permutations are one constant array; everything stays inside the row, without a Python worker."""
+    equal = _let(F.struct(minhash_signature(a, num_perm).alias("x"), minhash_signature(b, num_perm).alias("y")), lambda s: F.size(
+        F.filter(F.zip_with(s["x"], s["y"], lambda x, y: x == y), lambda same: same)))
+    return F.when(_c(a).isNotNull() & _c(b).isNotNull(), equal / num_perm)

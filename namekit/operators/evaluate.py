@@ -7,7 +7,6 @@ grouped aggregate; ``metrics_by_language`` computes all languages and the
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,36 +85,37 @@ def _ngrams(toks: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def _bleu_row_batch(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Per row: clipped n-gram matches and hypothesis n-gram totals for
-    n = 1..4, plus token lengths (whitespace tokens, as ``str.split``)."""
-    from collections import Counter
-    out = {f"{k}{n}": [] for n in range(1, 5) for k in ("c", "t")}
-    out["hyp_len"], out["ref_len"] = [], []
-    for r, h in zip(ref, hyp):
-        rt = (r or "").split()
-        ht = (h or "").split()
-        for n in range(1, 5):
-            hc = Counter(zip(*[ht[i:] for i in range(n)]))
-            rc = Counter(zip(*[rt[i:] for i in range(n)]))
-            out[f"c{n}"].append(sum(min(v, rc[g]) for g, v in hc.items() if g in rc))
-            out[f"t{n}"].append(max(len(ht) - n + 1, 0))
-        out["hyp_len"].append(len(ht))
-        out["ref_len"].append(len(rt))
-    return pd.DataFrame(out)
-
+def clipped_matches(hyp: Column, ref: Column) -> Column:
+    """Elements that two arrays have in common, with their numbers: the size of the multiset intersection. The
+    distinct common ones count once each; only those that both arrays repeat are counted, in sorted arrays."""
+    from ..functions.script import _let
+    repeated = lambda x: F.array_distinct(F.filter(x, lambda v, i: (i > 0) & (v == F.element_at(x, F.greatest(i, F.lit(1))))))
+    number = lambda x, v: F.size(x) + 2 - F.array_position(x, v) - F.array_position(F.reverse(x), v)
 
-_BLEU_ROW_TYPE = ", ".join(f"{k}{n} long" for n in range(1, 5) for k in ("c", "t")) + ", hyp_len long, ref_len long"
-_UDFS: dict = {}
+    def more(p):
+        both = F.array_intersect(repeated(p["h"]), repeated(p["r"]))
+        return F.aggregate(both, F.lit(0).cast("long"), lambda n, v: n + F.least(number(p["h"], v), number(p["r"], v)) - 1)
+    common = F.size(F.array_intersect(hyp, ref))
+    plain = (F.size(F.array_distinct(hyp)) == F.size(hyp)) | (F.size(F.array_distinct(ref)) == F.size(ref))
+    return (common + F.when(plain, F.lit(0)).otherwise(_let(F.struct(F.array_sort(hyp).alias("h"), F.array_sort(ref).alias("r")), more))).cast("long")
 
 
 def bleu_row_stats(ref, hyp) -> Column:
-    """Struct of per-row BLEU sufficient statistics. Counting n-grams of one
-    row is local work: a vectorised pandas UDF does it inside the task, so no
-    n-gram is ever shuffled; the corpus statistics are plain sums."""
-    if "bleu" not in _UDFS:
-        _UDFS["bleu"] = F.pandas_udf(_bleu_row_batch, _BLEU_ROW_TYPE)
-    return _UDFS["bleu"](_c(ref), _c(hyp))
+    """Struct of per-row BLEU sufficient statistics: clipped n-gram matches c1..c4, hypothesis n-gram totals
+    t1..t4 and lengths, all inside the row, so that no n-gram is moved; the corpus statistics are plain sums."""
+    from ..functions.script import _let
+
+    def stats(p):
+        r, h = p["r"], p["h"]
+        counts = []
+        for n in range(1, 5):
+            total = F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long")
+            match = _let(F.struct((h if n == 1 else _ngrams(h, n)).alias("x"), (r if n == 1 else _ngrams(r, n)).alias("y")),
+                         lambda g: clipped_matches(g["x"], g["y"]))
+            counts += [F.when(r == h, total).otherwise(match).alias(f"c{n}"), total.alias(f"t{n}")]
+        return F.struct(*counts, F.size(h).cast("long").alias("hyp_len"), F.size(r).cast("long").alias("ref_len"))
+    toks = lambda c: F.coalesce(tokens(_c(c)), F.array().cast("array<string>"))
+    return _let(F.struct(toks(ref).alias("r"), toks(hyp).alias("h")), stats)
 
 
 _BLEU_SUMS = [f"{k}{n}" for n in range(1, 5) for k in ("c", "t")] + ["hyp_len", "ref_len"]
@@ -169,6 +169,12 @@ def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = Tr
                       r(F.col("mean_f1")).alias("mean_f1"), r(F.col("bleu")).alias("bleu"))
 
 
+def metrics_table(metrics: DataFrame) -> DataFrame:
+    """K5 as a table: Language, CER, Accuracy and F1, rounded to 3 digits."""
+    return metrics.select(F.col(LANG).alias("Language"), F.round("label_error_rate", 3).alias("CER"),
+                          F.round("word_acc", 3).alias("Accuracy"), F.round("mean_f1", 3).alias("F1"))
+
+
 def _prf(tp, fp, fn, tn):
     acc = F.coalesce(F.try_divide(tp + tn, tp + fp + fn + tn), F.lit(0.0))
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))

@@ -81,12 +81,13 @@ def summary_table(counts: DataFrame, entropy: DataFrame, match: DataFrame,
     from .clean import add_language_name
     t = counts.join(entropy.select(F.col("language_code").alias(LANG), "script_entropy"),
                     on=LANG, how="left")
-    t = t.join(match.select(LANG, "pct_equal"), on=LANG, how="left")
+    # from the counts: the percentage of J4 has only two digits left
+    share = F.round(100 * F.col("n_equal") / F.col("n_rows"), 3)
+    t = t.join(match.select(LANG, F.concat(share.cast("string"), F.lit("%")).alias("english_match")), on=LANG, how="left")
     t = add_language_name(t, lookup, LANG, "language_long")
     t = t.select(LANG, "language_long", "count",
                  F.format_number(F.col("count"), 0).alias("n_names"),
-                 "script_entropy",
-                 F.concat(F.format_string("%.3f", F.col("pct_equal")), F.lit("%")).alias("english_match"))
+                 "script_entropy", "english_match")
     t = t.orderBy(F.desc("count"), LANG)
     return t.limit(n) if n else t
 

@@ -116,42 +116,41 @@ def assign_split(df: DataFrame, id_col: str = "wikidata_id", train: float = 0.8,
     return df.withColumn("split", F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test"))
 
 
+#: Hash buckets of the aliases in H8: at most so many, and as many aliases in each as are drawn, at least.
+NOISE_BUCKETS, NOISE_BUCKET_ROWS = 65_536, 1_000
+
+
 def noise_samples(names: DataFrame, n: int, seed: int = DEFAULT_SEED, lang: str = "language",
-                  alias: str = "alias", start: int | None = None) -> DataFrame:
-    """H8: per language, n distinct aliases that occur only in other
-    languages, labelled anomalous (noise).
-
-    Exact and without pairing every alias with every language: aliases are
-    ranked once globally by their hash key; a language takes the first n
-    ranks not used by itself. The top-M list grows (doubling) until every
-    language found n; each output row is produced by an equi-join on rank.
+                  alias: str = "alias", hand_labelled: DataFrame | None = None) -> DataFrame:
+    """H8: per language, the first n distinct aliases in the order of a hash that occur only in other
+    languages, labelled anomalous (noise). A language with rows in ``hand_labelled`` (language, alias) gets those instead.
+
+    Exact and without pairing every alias with every language: aliases fall into buckets by the leading
+    bits of their hash. Prefix sums over the buckets' numbers, of all aliases and of a language's own, tell in which bucket
+    its n-th alias of other languages lies; only the buckets up to there are joined, its own aliases removed, and
+    the rest ranked in two stages.
     """
-    aliases = names.select(lang, alias).distinct()
-    langs = aliases.select(lang).distinct()
-    n_langs = langs.count()
-    n_aliases = aliases.select(alias).distinct().count()
-    m = start or 2 * n
-    while True:
-        top = (aliases.select(alias).distinct()
-               .withColumn("_ok", order_key(F.col(alias), seed))
-               .orderBy("_ok", alias).limit(m))
-        ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy("_ok", alias))).drop("_ok")
-        own = aliases.join(ranked, on=alias, how="inner").select(lang, "_rank")
-        # r_L: smallest rank r with r - (own ranks <= r) >= n
-        own_cnt = own.groupBy(lang).agg(F.sort_array(F.collect_list("_rank")).alias("_own"))
-        per = langs.join(own_cnt, on=lang, how="left").withColumn(
-            "_own", F.coalesce(F.col("_own"), F.array().cast("array<int>")))
-        # walk the own ranks: the n-th free rank is n + (#own ranks before it)
-        thr = per.withColumn("_r", F.aggregate(
-            "_own", F.lit(n), lambda acc, r: F.when(r <= acc, acc + 1).otherwise(acc)))
-        ok = thr.filter(F.col("_r") <= m).count()
-        if ok == n_langs or m >= n_aliases:
-            break
-        m *= 2
-    need = thr.select(lang, F.explode(F.sequence(F.lit(1), F.least(F.col("_r"), F.lit(m)))).alias("_rank"))
-    picked = need.join(ranked, on="_rank", how="inner")
-    picked = picked.join(own, on=[lang, "_rank"], how="left_anti")
-    return picked.select(lang, alias, F.lit(True).alias("anomalous"), F.lit(True).alias("noise_sample"))
+    own = names.select(lang, alias).distinct().withColumn("_ok", order_key(F.col(alias), seed))
+    own = materialize(own)
+    n_aliases = own.agg(F.count_distinct(alias)).first()[0]                # scalar
+    buckets = max(1, min(NOISE_BUCKETS, n_aliases // max(n, NOISE_BUCKET_ROWS)))
+    bucket = F.floor(F.conv(F.substring("_ok", 1, 8), 16, 10).cast("double") * buckets / 2.0 ** 32).cast("int")
+    own = own.withColumn("_b", bucket)
+    every = own.select(alias, "_ok", "_b").distinct()
+    of_all = every.groupBy("_b").agg(F.count(F.lit(1)).alias("_all"))
+    of_own = own.groupBy(lang, "_b").agg(F.count(F.lit(1)).alias("_own"))
+    langs = own.select(lang).distinct()
+    grid = langs.select(lang, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    free = (grid.join(of_all, "_b", "left").join(of_own, [lang, "_b"], "left")
+            .withColumn("_free", F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))))
+    before = Window.partitionBy(lang).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = free.withColumn("_before", F.coalesce(F.sum("_free").over(before), F.lit(0))).where((F.col("_before") < n) & (F.col("_free") > 0))
+    picked = wanted.select(lang, "_b").join(every, "_b").join(own.select(lang, alias), [lang, alias], "left_anti")
+    out = top_k_per_group(picked.drop("_b"), [lang], F.col("_ok"), n).select(lang, alias)
+    if hand_labelled is not None:
+        given = hand_labelled.select(lang, alias)
+        out = out.join(measured_side(given.select(lang).distinct()), lang, "left_anti").unionByName(given)
+    return out.select(lang, alias, F.lit(True).alias("anomalous"), F.lit(True).alias("noise_sample"))
 
 
 def extreme_examples(df: DataFrame, col: str, n: int = 30, chunk: int = 1000,

@@ -240,11 +240,11 @@ def _entropy_sql():
 
 @register("j7_summary_table", O.with_names(*_entropy_sql()) + """
 , counts AS (SELECT language, count(*) AS count FROM names GROUP BY language)
-, m AS (SELECT language, round(100 * avg(CAST(alias = eng AS BIGINT)), 2) AS pct_equal
+, m AS (SELECT language, round(100 * avg(CAST(alias = eng AS BIGINT)), 3) AS pct_equal
         FROM names GROUP BY language)
 SELECT c.language, coalesce(l.name, c.language) AS language_long, c.count,
        format('{:,}', c.count) AS n_names, e.script_entropy,
-       printf('%.3f', m.pct_equal) || '%' AS english_match
+       CAST(m.pct_equal AS VARCHAR) || '%' AS english_match
 FROM counts c LEFT JOIN entropy e ON e.language_code = c.language
 LEFT JOIN m ON m.language = c.language LEFT JOIN lookup l ON l.code = c.language""")
 def q_j7(spark, d):

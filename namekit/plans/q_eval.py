@@ -147,7 +147,29 @@ def q_k2(spark, d):
     return with_global(o, "language", [F.round(100 * F.avg("_f1"), 5).alias("mean_f1")])
 
 
-@register("k3_label_error_rate")
+#: Word edit distance of every row of ``outputs`` (rid), one word of the hypothesis at a time: a row of the table of
+#: distances is a running minimum over the one before.
+_LER_SQL = f"""
+, ot AS (SELECT row_number() OVER () AS rid, language, reference, hypothesis,
+                {O.tokens('reference')} AS rt, {O.tokens('hypothesis')} AS ht FROM outputs)
+, dp(rid, i, j, d) AS (
+    SELECT rid, 0, unnest(range(0, len(rt) + 1)) AS j, unnest(range(0, len(rt) + 1)) AS d FROM ot WHERE rt <> ht
+    UNION ALL
+    SELECT rid, i + 1, j, j + min(c - j) OVER (PARTITION BY rid ORDER BY j) FROM (
+      SELECT dp.rid, dp.i, dp.j, least(dp.d + 1, coalesce(lag(dp.d) OVER (PARTITION BY dp.rid ORDER BY dp.j)
+               + CASE WHEN ot.rt[dp.j] = ot.ht[dp.i + 1] THEN 0 ELSE 1 END, dp.d + 1)) AS c
+      FROM dp JOIN ot USING (rid) WHERE dp.i < len(ot.ht)))
+, ler AS (SELECT ot.rid, ot.language, ot.reference, ot.hypothesis,
+                 CASE WHEN len(rt) > 0 THEN coalesce(dp.d, 0)::DOUBLE / len(rt) END AS ler
+          FROM ot LEFT JOIN dp ON dp.rid = ot.rid AND dp.i = len(ot.ht) AND dp.j = len(ot.rt))"""
+
+
+def _outputs_rec() -> str:
+    return O.with_names(_outputs_sql()).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("k3_label_error_rate", _outputs_rec() + _LER_SQL + """
+SELECT language, round(avg(ler), 5) AS label_error_rate FROM ler GROUP BY language""")
 def q_k3(spark, d):
     o = _outputs(spark, d).withColumn("_ler", K.label_error_rate("reference", "hypothesis"))
     return o.groupBy("language").agg(F.round(F.avg("_ler"), 5).alias("label_error_rate"))
@@ -184,11 +206,32 @@ def q_k4(spark, d):
     return b.select("language", F.round("bleu", 5).alias("bleu"))
 
 
-@register("k5_metrics_by_language")
+def _k5_sql() -> str:
+    body = _outputs_rec().rstrip()
+    twice = """
+, outputs_all AS (SELECT language, reference, hypothesis FROM outputs UNION ALL SELECT 'global', reference, hypothesis FROM outputs)"""
+    bleu, _, last = _bleu_sql("language").rpartition("SELECT g AS language")
+    rest = (_LER_SQL + bleu).replace("FROM outputs", "FROM outputs_all")
+    return body + twice + rest + f"""
+, bl AS (SELECT g AS language{last})
+SELECT language, round(avg(ler), 5) AS label_error_rate, round(100 * avg(CAST(reference = hypothesis AS DOUBLE)), 5) AS word_acc,
+       round(100 - 100 * avg(CAST(reference = hypothesis AS DOUBLE)), 5) AS word_err,
+       round(100 * avg({_f1_sql('reference', 'hypothesis')}), 5) AS mean_f1, any_value(bleu) AS bleu
+FROM ler JOIN bl USING (language) GROUP BY language"""
+
+
+@register("k5_metrics_by_language", _k5_sql())
 def q_k5(spark, d):
     return K.metrics_by_language(_outputs(spark, d))
 
 
+@register("k5_metrics_table", f"""
+SELECT language AS "Language", round(label_error_rate, 3) AS "CER", round(word_acc, 3) AS "Accuracy", round(mean_f1, 3) AS "F1"
+FROM ({_k5_sql()})""")
+def q_k5_table(spark, d):
+    return K.metrics_table(K.metrics_by_language(_outputs(spark, d)))
+
+
 def _gold(spark, d):
     """Gold for the filters: a document's names should be removed when the
     document is labelled low quality."""

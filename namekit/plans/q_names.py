@@ -103,17 +103,31 @@ def q_e7(spark, d):
     return E.standardize_names(T.names(spark, d), "remove_parenthesis_permute_comma")
 
 
-@register("e8_change_stats", O.with_names(O.language_lookup_sql()) + f"""
-, s AS (SELECT language, {E3_SQL} IS NOT DISTINCT FROM alias AS u FROM names_all)
-, g AS (SELECT language, count(*) FILTER (WHERE NOT u) AS n_changed, count(*) FILTER (WHERE u) AS n_unchanged
-        FROM s GROUP BY GROUPING SETS ((language), ()))
+_E8_SQL = O.with_names(O.language_lookup_sql()) + f"""
+, s AS (SELECT row_number() OVER () AS rid, language, alias, {E3_SQL} AS new FROM names_all)
+, tk AS (SELECT rid, {O.tokens("replace(alias, ',', ' ')")} AS old_t, {O.tokens("replace(new, ',', ' ')")} AS new_t FROM s WHERE alias <> new)
+, o AS (SELECT rid, tok, pos, row_number() OVER (PARTITION BY rid, tok ORDER BY pos) AS nth
+        FROM (SELECT rid, unnest(old_t) AS tok, unnest(range(len(old_t))) AS pos FROM tk))
+, w AS (SELECT rid, tok, pos, row_number() OVER (PARTITION BY rid, tok ORDER BY pos) AS nth
+        FROM (SELECT rid, unnest(new_t) AS tok, unnest(range(len(new_t))) AS pos FROM tk))
+, whole AS (SELECT rid FROM tk WHERE list_sort(old_t) = list_sort(new_t))
+, x AS (SELECT rid, count(*) FILTER (WHERE t < high) AS n_cross FROM (
+          SELECT rid, w.pos AS t, max(w.pos) OVER (PARTITION BY rid ORDER BY o.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high
+          FROM o JOIN w USING (rid, tok, nth) JOIN whole USING (rid)) GROUP BY rid)
+, g AS (SELECT language, sum(coalesce(n_cross, 0)) AS x, count(*) AS n, count(*) FILTER (WHERE alias IS DISTINCT FROM new) AS n_changed,
+               count(*) FILTER (WHERE alias IS NOT DISTINCT FROM new) AS n_unchanged
+        FROM s LEFT JOIN x USING (rid) GROUP BY GROUPING SETS ((language), ()))
 SELECT CASE WHEN g.language IS NULL THEN 'global' ELSE coalesce(l.name, g.language) END AS language,
-       CAST(0.0 AS DOUBLE) AS mean_crossing_alignments, n_changed, n_unchanged
-FROM g LEFT JOIN lookup l ON l.code = g.language""")
+       round(CAST(g.x AS DOUBLE) / n, 8) AS mean_crossing_alignments, n_changed, n_unchanged
+FROM g LEFT JOIN lookup l ON l.code = g.language"""
+
+
+@register("e8_change_stats", _E8_SQL)
 def q_e8(spark, d):
     from .queries import language_lookup
     p = E.apply_permuter(T.names(spark, d), "remove_parenthesis_permute_comma")
-    return E.change_stats(p, lookup=language_lookup(spark))
+    p = p.withColumn("n_cross", A.crossing_count(E.token_alignment("original_text", "alias")))
+    return E.change_stats(p, "n_cross", lookup=language_lookup(spark))
 
 
 @register("e9_permutation_report", O.with_names() + f"""
@@ -259,12 +273,36 @@ def q_g3(spark, d):
             .unionByName(flagged.select("doc_id", "line_no", F.lit(True).alias("flagged"))))
 
 
-@register("g1_minhash_jaccard")
+def _minhash_sql(x: str) -> str:
+    hashes = f"list_transform(list_filter(list_distinct(string_split({x}, '')), lambda c: c <> ''), lambda c: CAST('0x' || substr(md5(c), 1, 7) AS BIGINT))"
+    return f"list_transform(perms, lambda p: coalesce(list_min(list_transform({hashes}, lambda h: (p.a * h + p.b) % {G.PRIME})), {G.PRIME}))"
+
+
+def _g1_sql() -> str:
+    rows = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in G.permutations())
+    return O.with_names(f"perms AS (SELECT [{rows}] AS perms)") + f"""
+, s AS (SELECT doc_id, line_no, alias, eng, {_minhash_sql('alias')} AS x, {_minhash_sql('eng')} AS y FROM names_all, perms)
+SELECT doc_id, line_no, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) / {G.NUM_PERM} AS jaccard_estimate FROM s"""
+
+
+@register("g1_minhash_jaccard", _g1_sql())
 def q_g1(spark, d):
     return _pos(spark, d).select("doc_id", "line_no",
                                  G.minhash_jaccard(F.col("alias"), F.col("eng")).alias("jaccard_estimate"))
 
 
+def _g3_minhash_sql() -> str:
+    return _g1_sql().replace("AS jaccard_estimate FROM s", ">= 0.95 AS flagged FROM s")
+
+
+@register("g3_filter_similar_minhash", _g3_minhash_sql())
+def q_g3_minhash(spark, d):
+    from ..operators import similarity as GS
+    kept, flagged = GS.filter_similar(_pos(spark, d), 0.95)
+    return (kept.select("doc_id", "line_no", F.lit(False).alias("flagged"))
+            .unionByName(flagged.select("doc_id", "line_no", F.lit(True).alias("flagged"))))
+
+
 @register("e10_anomaly_report", O.with_names(*__import__("namekit.plans.q_script", fromlist=["TAG_CTES"]).TAG_CTES) + """
 SELECT CASE WHEN v1 + v2 + v3 + v4 + v5 > 0 THEN 'anomalous' ELSE 'non_anomalous' END AS category,
        v.wikidata_id, v.language, v.type, v.alias, coalesce(dm.block, '') AS most_common_unicode_block

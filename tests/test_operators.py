@@ -82,7 +82,7 @@ def test_sampling_properties(spark):
 def test_noise_samples_exact(spark):
     rows = [(f"Q{i}", "e", f"w{i % 40}", ["en", "fr"][i % 2], "PER") for i in range(200)]
     df = spark.createDataFrame(rows, NAMES)
-    noise = H.noise_samples(df, 5, start=2).collect()
+    noise = H.noise_samples(df, 5).collect()
     own = {(r["language"], r["alias"]) for r in df.collect()}
     per = {}
     for r in noise:

@@ -10,8 +10,6 @@ import __spark_entry__ as E
 from namekit.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"crossing_experiment", "f2_align_characters", "k5_metrics_by_language",
-        "f5_pooled_vs_separate"}
 
 
 def _norm(v):
@@ -43,8 +41,6 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query(spark, con, name):
-    if name in SLOW:
-        pytest.skip("slow EM / n-gram job; covered by the oracle tool at sf0.01")
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
