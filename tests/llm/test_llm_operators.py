@@ -96,10 +96,78 @@ def test_chunkdedup(spark, odd):
     assert {r.doc_id for r in got} == {100 + i for i in range(6)} and all(r.first_doc_id == 100 for r in got)
     left = {r.doc_id: r.text for r in chunkdedup.remove_repeats(df).collect()}
     assert left[100] == dict(rows)[100] and all(len(left[100 + i].split()) <= 155 + i for i in range(1, 6))
-    assert chunkdedup.repeated_passages(odd).count() >= 0 and chunkdedup.repeated_passages(odd.limit(0)).count() == 0
+    assert chunkdedup.repeated_passages(odd).count() == 0 and chunkdedup.repeated_passages(odd.limit(0)).count() == 0
     assert chunkdedup.remove_repeats(odd).count() == len(ODD)
 
 
+def brute_chunks(text):
+    """(start, end, words) of the chunks of a text, one word at a time."""
+    data, spans = (text or "").encode(), []
+    wide = {w.decode() for w in chunkdedup.WIDE_SPACES}
+    at = 0
+    for ch in text or "":
+        b = ch.encode()
+        word = ch not in wide and (len(b) > 1 or ch.isalnum())
+        alone = ch >= "\u3000"
+        if word and not alone and spans and spans[-1][1] == at and not spans[-1][2]:
+            spans[-1][1] += len(b)
+        elif word:
+            spans.append([at, at + len(b), alone])
+        at += len(b)
+    def gear(end):
+        h = 0
+        for x in (bytes(chunkdedup.GEAR_BYTES) + data)[:chunkdedup.GEAR_BYTES + end][-chunkdedup.GEAR_BYTES:]:
+            h = (2 * h + int(chunkdedup.GEAR[x])) % 2 ** 32
+        return h
+    value = [gear(e) for _, e, _ in spans[:-1]]
+    R = chunkdedup.REACH
+    cut = [all(value[k] < v for v in value[max(0, i - R):i]) and all(value[k] <= v for v in value[i + 1:i + 1 + R])
+           for i, k in enumerate(range(len(value)))]
+    heads = [0, *(i + 1 for i, c in enumerate(cut) if c)] if spans else []
+    return [(spans[a][0], spans[b][0] if b < len(spans) else len(data), b - a, data[spans[a][0]:spans[b - 1][1]])
+            for a, b in zip(heads, [*heads[1:], len(spans)])]
+
+
+def brute_passages(rows, least_words):
+    """(doc, start, end, words) as the operator defines them."""
+    where, chunks = {}, {}
+    for key, (i, text) in enumerate(rows):
+        doc = ("id", i) if i is not None else ("text", text)
+        chunks[key] = (doc, brute_chunks(text))
+        for c in chunks[key][1]:
+            where.setdefault(c[3], set()).add(doc)
+    out = []
+    for doc, cs in chunks.values():
+        run = []
+        for c in [*cs, None]:
+            if c is not None and len(where[c[3]]) > 1:
+                run.append(c)
+                continue
+            if sum(x[2] for x in run) >= least_words:
+                out.append((doc[1] if doc[0] == "id" else None, run[0][0], run[-1][1], sum(x[2] for x in run)))
+            run = []
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("gap", [" ", ", ", "/", "\u00a0", "\u3000", "", "\n\t "])
+def test_chunkdedup_brute_force(spark, gap):
+    """Passages of 50 words and more, whatever sets the words apart; without anything, of a script without spaces."""
+    rng = random.Random(2)
+    letters = "\u4e00\u4e8c\u5c71\u6c34\u706b\u6728" if not gap else "abcdefgh\u00e9"
+    def text(n):
+        return gap.join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    shared = [text(60) for _ in range(3)]
+    rows = [(i, gap.join([text(30 + i), shared[i % 3], text(50)])) for i in range(12)] + [(50 + i, text(200)) for i in range(5)]
+    rows += [(None, gap.join([text(40), shared[0], text(20 + k)])) for k in range(3)] + [(60, None), (61, ""), (62, gap * 9), (63, "x" * 3000)]
+    only = text(70)
+    rows += [(None, gap.join([text(10 + k), only])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunkdedup.repeated_passages(df).collect()
+    assert sorted(((r.doc_id, r.start, r.end, r.n_words) for r in got), key=repr) == brute_passages(rows, chunkdedup.MIN_WORDS)
+    found = {r.doc_id for r in got}
+    assert set(range(12)) <= found and sum(r.doc_id is None for r in got) >= 6 and not found & {50, 51, 52, 53, 54, 60, 61, 62, 63}
+
+
 def test_urlfilter(spark):
     rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
     urls = [None, "", "nothing", "http://A.Example.ORG/es/1?x", "https://example.org/en/19#a", "http://x.com/de/", "http://notexample.org/es/",
