@@ -1,22 +1,28 @@
 """Personal data by weak supervision.
 
-Base patterns give spans that always stay. Looser patterns give further candidates: spelled-out
-addresses, telephone numbers without a country code, four-part and long digit groups that fail the
-base checks. Regular-expression, gazetteer and context labelers vote on every candidate (1 for, 2
-against, 0 abstains). How often each combination of votes occurs in the whole corpus is counted by
+Base patterns give spans that always stay. Looser patterns give further candidates, which may overlap each other:
+spelled-out addresses, telephone numbers without a country code, four-part numbers, and groups of digits inside longer
+ones. Regular-expression, gazetteer and context labelers vote on every candidate (1 for, 2 against, 0 abstains); each
+abstains where it knows nothing. How often each combination of votes occurs in the whole corpus is counted by
 Spark; expectation-maximisation over this table (its size is bounded by the labelers, not the data)
-estimates every labeler's reliability and each combination's probability, and a logistic classifier
-of kind, votes and shape is trained on these probabilities. A candidate that it accepts and that
-overlaps no base span is added.
+estimates every labeler's reliability and each combination's probability. A logistic classifier is trained on these
+probabilities, from the votes and from the text itself: hashed words around a candidate and character trigrams of its form.
+Its training rows are the SAMPLE candidates of least hash (distinct contexts with their numbers), a documented bound. It judges
+all candidates; of those that overlap, the most probable one is added, if it is accepted.
 
 Defined results: a null or empty text has no spans; equal rows give equal rows; offsets are code
-points, ends exclusive. Without any candidate in the corpus nothing is added.
+points, ends exclusive. No added span overlaps a base span. Among equally probable candidates the first, then the longest,
+counts. Without any candidate in the corpus nothing is added.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,25 +48,35 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 # Looser patterns.
-_AT = re.compile(r" ?[\[({<]at[\])}>] ?| at ", re.I)
+_AT = re.compile(r" ?[\[({<]at[\])}>] ?", re.I)
+_AT_WORD = re.compile(r" at ", re.I)
 _SPELLED = re.compile(r"[A-Za-z0-9-]++(?:(?: ?[\[({<]dot[\])}>] ?| dot |\.)[A-Za-z0-9-]++)+", re.I)
 _DOT = re.compile(r"[\[({<]dot[\])}>]| dot ", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+_GROUP = re.compile(r"[0-9]++")
 
 # Gazetteers and cue words.
 TOP_DOMAINS = frozenset("com net org edu gov info io de fr es uk eu us".split())
+CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38")
 CUES = {
-    "email": frozenset("mail email contact write correo courriel kontakt".split()),
-    "ip": frozenset("ip host server address from login adresse".split()),
-    "card": frozenset("card visa mastercard amex payment credit karte carte tarjeta".split()),
-    "phone": frozenset("phone tel call fax mobile cell telefon telefono appel".split()),
+    "email": frozenset("mail email contact write reach correo courriel kontakt schreiben escribir contacter".split()),
+    "ip": frozenset("ip host server address login client adresse direccion serveur servidor".split()),
+    "card": frozenset("card visa mastercard amex payment credit debit karte carte tarjeta kreditkarte".split()),
+    "phone": frozenset("phone tel call fax mobile cell telephone telefon telefono appel ruf llame handy".split()),
 }
-AGAINST = frozenset("version release isbn section chapter order invoice id serial build figure".split())
-_WORD = re.compile(r"[a-z]+")
+AGAINST = frozenset("version release isbn section chapter order invoice id serial build figure page table rechnung facture "
+                    "pedido bestellung commande numero number nr no part ticket".split())
+_WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 40
+#: Characters in which another span of personal data counts as company.
+NEAR = 120
 
 #: Names of the labelers, in the order of their votes.
-LABELERS = ("pattern", "gazetteer", "cue", "against", "boundary", "variety")
+LABELERS = ("form", "gazetteer", "cue", "against", "edges", "company")
+
+#: Buckets of hashed text features, and training rows of the classifier.
+BUCKETS = 1 << 13
+SAMPLE = 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -113,65 +129,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further candidates that overlap no base span and no earlier candidate."""
-    found = []
+    """Further candidates, in order, that overlap no base span; they may overlap each other."""
+    found = set()
+    ats = [(m, False) for m in _AT.finditer(text)] if "[" in text or "(" in text or "{" in text or "<" in text else []
     if "dot" in text or "DOT" in text or "Dot" in text:
-        for m in _AT.finditer(text):
-            begin = _back(text, m.start(), 0)
-            tail = _SPELLED.match(text, m.end())
-            if begin < m.start() and tail and _DOT.search(tail.group()):
-                found.append((begin, 0, tail.end()))
+        ats += [(m, True) for m in _AT_WORD.finditer(text)]
+    for m, spelled in ats:
+        begin = _back(text, m.start(), 0)
+        tail = _SPELLED.match(text, m.end())
+        if begin < m.start() and tail and (not spelled or _DOT.search(tail.group())):
+            found.add((begin, 0, tail.end()))
     if _DIGIT.search(text):
         if "." in text:
-            found += [(m.start(), 1, m.end()) for m in _IP.finditer(text)]
+            found.update((m.start(), 1, m.end()) for m in _IP.finditer(text))
         for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 13 and 13 <= len(_NOT_DIGIT.sub("", m.group())) <= 19:
-                found.append((m.start(), 2, m.end()))
-        found += [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
-    out, last, b = [], 0, 0
+            if m.end() - m.start() >= 13:
+                groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+                for i in range(len(groups)):  # groups of three digits or more, of 13 to 19 digits together
+                    digits = 0
+                    for a, b in groups[i:i + 6]:
+                        digits += b - a
+                        if digits > 19 or b - a < 3:
+                            break
+                        if digits >= 13:
+                            found.add((groups[i][0], 2, b))
+        found.update((m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text))
+    out, b = [], 0
     for s, k, e in sorted(found):
         while b < len(base) and base[b][2] <= s:
             b += 1
-        near = base[b:b + 8]
-        if s >= last and all(e <= x or y <= s for x, _, y in near):
+        if all(e <= x or y <= s for x, _, y in base[b:b + 8]):
             out.append((s, k, e))
-            last = e
     return out
 
 
-def votes(text: str, span: tuple[int, int, int], is_base: bool) -> tuple[int, ...]:
+def votes(text: str, span: tuple[int, int, int], is_base: bool, base: list[tuple[int, int, int]]) -> tuple[int, ...]:
     """Each labeler's vote, 1 for, 2 against, 0 abstains."""
     s, k, e = span
     kind, value = KINDS[k], text[s:e]
     digits = _NOT_DIGIT.sub("", value)
-    before = _WORD.findall(text[max(0, s - CONTEXT):s].lower())
-    pattern = 1 if is_base else 2 if k in (1, 2) else 0
+    before = [w.lower() for w in _WORD.findall(text[max(0, s - CONTEXT):s])]
+    after = [w.lower() for w in _WORD.findall(text[e:e + CONTEXT])]
     if k == 0:
+        form = 1 if "@" in value or _AT.search(value) else 0
         gazetteer = 1 if re.split(r"[^a-z]+", value.lower().rstrip(")]}>"))[-1] in TOP_DOMAINS else 2
     elif k == 1:
+        form = 1 if all(map(_small, value.split("."))) else 2
         gazetteer = 2 if value.split(".")[0].lstrip("0") in ("", "127", "255") else 0
     elif k == 2:
-        gazetteer = 1 if digits[0] in "3456" else 2
+        form = 1 if luhn(digits) else 2
+        gazetteer = 1 if digits.startswith(CARD_PREFIXES) else 2
     else:
-        gazetteer = 1 if value[0] == "+" or digits[0] in "23456789" else 0
-    cue = 1 if any(w in CUES[kind] for w in before[-4:]) else 0
+        form = 1 if value[0] == "+" or value[0] == "(" or len(digits) == 10 else 0
+        gazetteer = 1 if value[0] == "+" else 2 if digits[0] == "1" and len(digits) < 11 else 0
+    cue = 1 if any(w in CUES[kind] for w in before[-5:] + after[:3]) else 0
     against = 2 if any(w in AGAINST for w in before[-2:]) else 0
-    edges = text[max(0, s - 1):s] + text[e:e + 1]
-    boundary = 2 if any(c.isalnum() or c in "$€£%#=/" for c in edges) else 1
-    variety = 0 if k == 0 else 2 if len(set(digits)) < 3 else 1
-    return pattern, gazetteer, cue, against, boundary, variety
+    around = text[max(0, s - 1):s] + text[e:e + 1]
+    edges = 2 if any(c.isalnum() or c in "$€£%#=/" for c in around) else 0
+    company = 1 if any(x[0] != s and x[0] < e + NEAR and s - NEAR < x[2] for x in base) else 0
+    return (1 if is_base else form), gazetteer, cue, against, edges, company
+
+
+def text_features(text: str, span: tuple[int, int, int]) -> list[int]:
+    """Hashed words on either side and character trigrams of the form (9 a digit, a a letter), with the kind."""
+    s, k, e = span
+    form = "^" + re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", text[s:e]))[:60] + "$"
+    names = {f"{k}f{form[i:i + 3]}" for i in range(len(form) - 2)} | {f"{k}n{min(e - s, 40)}"}
+    names |= {f"{k}b{w.lower()}" for w in _WORD.findall(text[max(0, s - CONTEXT):s])[-4:]}
+    names |= {f"{k}a{w.lower()}" for w in _WORD.findall(text[e:e + CONTEXT])[:3]}
+    names |= {f"{k}l{text[max(0, s - 2):s]}", f"{k}r{text[e:e + 2]}"}
+    return sorted({zlib.crc32(n.encode()) % BUCKETS for n in names})
 
 
-def shape(text: str, span: tuple[int, int, int]) -> int:
-    """Four shape bits: long, separated, own line, all digits."""
-    s, _, e = span
-    value = text[s:e]
-    return ((e - s >= 16) + 2 * (" " in value or "-" in value) + 4 * (text[max(0, s - 1):s] in ("", "\n"))
-            + 8 * value.isdigit())
+def _candidates(text: str) -> Iterator[tuple[tuple, tuple[int, int, int]]]:
+    """((kind, votes...), span) of all candidates."""
+    base = base_spans(text)
+    for found, is_base in ((base, True), (loose_spans(text, base), False)):
+        for span in found:
+            yield (span[1], *votes(text, span, is_base, base)), span
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[tuple, int]]:
-    """((kind, shape, votes...), number) over all candidates of the corpus."""
+    """((kind, votes...), number) over all candidates of the corpus."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,34 +219,64 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[tuple, in
             texts = arrowtext.text_array(batch.column(0))
             for a, b in arrowtext.slices(texts, SLICE_BYTES):
                 for text in texts.slice(a, b - a).to_pylist():
-                    base = base_spans(text)
-                    for found, is_base in ((base, True), (loose_spans(text, base), False)):
-                        for span in found:
-                            seen[",".join(map(str, (span[1], shape(text, span), *votes(text, span, is_base))))] += 1
+                    for key, _ in _candidates(text):
+                        seen[",".join(map(str, key))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                          names=["pattern", "n"])
 
-    # at most kinds x shapes x 3^labelers rows
+    # at most kinds x 3^labelers rows
     table = arrow_map(rows, run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return sorted((tuple(map(int, r.pattern.split(","))), r.n) for r in table.collect())
 
 
+def samples(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> list[tuple[tuple, list[int], int]]:
+    """(key, text features, number) of the distinct contexts of least hash, ``most`` at most: every task keeps that many."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+        heap: list[int] = []
+        for batch in batches:
+            texts = arrowtext.text_array(batch.column(0))
+            for a, b in arrowtext.slices(texts, SLICE_BYTES):
+                for text in texts.slice(a, b - a).to_pylist():
+                    for key, span in _candidates(text):
+                        features = text_features(text, span)
+                        name = ",".join(map(str, key))
+                        h = int.from_bytes(hashlib.blake2b(f"{name};{features}".encode(), digest_size=8).digest(), "little", signed=True)
+                        if h in kept:
+                            kept[h][2] += 1
+                        elif len(heap) < most or h < -heap[0]:
+                            kept[h] = [name, features, 1]
+                            heapq.heappush(heap, -h)
+                            if len(heap) > most:
+                                del kept[-heapq.heappop(heap)]
+        names, features, n = zip(*kept.values(), strict=True) if kept else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(names, pa.string()),
+                                          pa.array(features, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["h", "pattern", "features", "n"])
+
+    table = (arrow_map(rows, run, "h long, pattern string, features array<int>, n long").groupBy("h")
+             .agg(F.first("pattern").alias("pattern"), F.first("features").alias("features"), F.sum("n").alias("n"))
+             .orderBy("h").limit(most))
+    return [(tuple(map(int, r.pattern.split(","))), list(r.features), r.n) for r in table.collect()]
+
+
 class SpanModel:
-    """Reliabilities of the labelers and the span classifier, from counts of vote combinations."""
+    """Reliabilities of the labelers, from counts of vote combinations, and the span classifier."""
 
     ROUNDS = 60
+    STEPS = 300
 
-    def __init__(self, counts: list[tuple[tuple, int]]):
+    def __init__(self, counts: list[tuple[tuple, int]], rows: list[tuple[tuple, list[int], int]]):
         self.reliability: dict[str, tuple[float, float]] = {}
-        self.weights = np.zeros(0)
-        self.accepted: dict[tuple, float] = {}
+        self.posterior: dict[tuple, float] = {}
+        self.votes, self.words = np.zeros(0), np.zeros(0)
         if counts:
             keys = np.array([k for k, _ in counts])
             n = np.array([c for _, c in counts], float)
-            posterior = self._reconcile(keys[:, 2:], n)
-            x = np.stack([self.features(k) for k in keys])
-            self.weights = self._fit(x, posterior, n)
-            self.accepted = {tuple(map(int, k)): float(p) for k, p in zip(keys, self._sigmoid(x @ self.weights), strict=True)}
+            share = self._reconcile(keys[:, 1:], n)
+            self.posterior = {tuple(map(int, k)): float(p) for k, p in zip(keys, share, strict=True)}
+            self._fit(rows)
 
     @staticmethod
     def _sigmoid(z):
@@ -240,38 +309,50 @@ class SpanModel:
 
     @staticmethod
     def features(key) -> np.ndarray:
-        kind, bits, *v = (int(x) for x in key)
-        return np.array([1.0, *(kind == k for k in range(len(KINDS))), *(bits >> b & 1 for b in range(4)),
-                         *(x == y for x in v for y in (1, 2))], float)
-
-    def _fit(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Logistic regression by Newton's method with a small ridge."""
-        w = np.zeros(x.shape[1])
-        weight = n / n.sum()
-        for _ in range(50):
-            p = self._sigmoid(x @ w)
-            slope = x.T @ (weight * (p - y)) + 1e-4 * w
-            curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-            step = np.linalg.solve(curve, slope)
-            w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
-            if np.abs(step).max() < 1e-8:
-                break
-        return w
-
-    def accepts(self, text: str, span: tuple[int, int, int]) -> bool:
-        key = (span[1], shape(text, span), *votes(text, span, False))
-        p = self.accepted.get(key)
-        if p is None:
-            p = float(self._sigmoid(self.features(key) @ self.weights)) if len(self.weights) else 0.0
-        return p >= 0.5
+        kind, *v = (int(x) for x in key)
+        return np.array([1.0, *(kind == k for k in range(len(KINDS))), *(x == y for x in v for y in (1, 2))], float)
+
+    def _fit(self, rows: list[tuple[tuple, list[int], int]]) -> None:
+        """Logistic regression on the probabilities of the votes, by gradients scaled to their past size, with a ridge."""
+        x = np.stack([self.features(k) for k, _, _ in rows])
+        y = np.array([self.posterior[k] for k, _, _ in rows])
+        weight = np.array([math.sqrt(n) for _, _, n in rows])
+        weight /= weight.sum()
+        at = np.repeat(np.arange(len(rows)), [len(f) for _, f, _ in rows])
+        word = np.array([f for _, fs, _ in rows for f in fs], np.int64)
+        each = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(rows))))[at]
+        self.votes, self.words = np.zeros(x.shape[1]), np.zeros(BUCKETS)
+        past_v, past_w = np.full(x.shape[1], 1e-8), np.full(BUCKETS, 1e-8)
+        for _ in range(self.STEPS):
+            z = x @ self.votes + np.bincount(at, self.words[word] * each, minlength=len(rows))
+            off = weight * (self._sigmoid(z) - y)
+            slope_v = x.T @ off + 1e-4 * self.votes
+            slope_w = np.bincount(word, off[at] * each, minlength=BUCKETS) + 1e-4 * self.words
+            past_v += slope_v ** 2
+            past_w += slope_w ** 2
+            self.votes -= 0.3 * slope_v / np.sqrt(past_v)
+            self.words -= 0.3 * slope_w / np.sqrt(past_w)
+
+    def probability(self, text: str, span: tuple[int, int, int], key: tuple) -> float:
+        if not len(self.votes):
+            return 0.0
+        of = text_features(text, span)
+        return float(self._sigmoid(self.features(key) @ self.votes + self.words[of].sum() / math.sqrt(len(of))))
 
     def spans(self, text: str) -> tuple[list, list]:
+        """Base spans and those added."""
         base = base_spans(text)
-        return base, [s for s in loose_spans(text, base) if self.accepts(text, s)]
+        judged = [(-self.probability(text, s, (s[1], *votes(text, s, False, base))), s[0], -s[2], s) for s in loose_spans(text, base)]
+        added: list = []
+        for p, _, _, span in sorted(judged):
+            at = bisect.bisect(added, span)
+            if -p >= 0.5 and (at == 0 or added[at - 1][2] <= span[0]) and (at == len(added) or span[2] <= added[at][0]):
+                added.insert(at, span)
+        return base, added
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    return SpanModel(vote_counts(docs, text_col))
+    return SpanModel(vote_counts(docs, text_col), samples(docs, text_col))
 
 
 def _joined(found: list) -> str:
