@@ -32,6 +32,7 @@ HEADLINE = [
     "k4_corpus_bleu",
     "b15_dump_names",
     "resource_build",
+    "f2_align_characters",
 ]
 
 

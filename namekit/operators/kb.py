@@ -3,12 +3,14 @@ name table."""
 
 from __future__ import annotations
 
-import itertools
+import functools
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, measured_side
+
 DEFAULT_LANGUAGE = "en"
 
 
@@ -62,53 +64,56 @@ def has_claim(dump: DataFrame, prop: str = "P31", n: int | None = None) -> DataF
     return out.orderBy("id").limit(n) if n else out
 
 
-def subclass_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every transitive subclass of each root (root included).
+#: Types whose reachability one 64-bit set holds; more are worked off in groups.
+TYPES_PER_SET = 60
+#: Rows (class and a class above it) per partition.
+CLOSURE_ROWS_PER_PARTITION = 1_000_000
+
+
+def class_types(edges: DataFrame, roots: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(class, bits): bit k is set for the classes below (or at) a root of ``types[k]``.
 
-    Breadth-first: the frontier is joined to the edges, classes already
-    reached are removed with an anti join (so cycles stop), and the loop ends
-    when the frontier is empty. Each level is checkpointed to the cluster's
-    checkpoint folder to keep lineage short.
+    Pointer doubling: round k knows each class's types within 2^k steps and the classes exactly 2^k steps above it;
+    following these once more doubles both. It ends when a round changes no class's types (a type found later
+    would have been found by some class in every round before), so after about log2 of the depth rounds, cycles
+    included.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(roots.sparkSession)
-    # the edge list is read on every level: materialize it once, in as many
-    # partitions as its size needs (about 1M edges each), so the per-level
-    # checkpoints do not write hundreds of tiny files
-    e = edges.select("child", "parent").distinct().checkpoint()
-    parts = max(1, -(-e.count() // CLOSURE_EDGES_PER_PARTITION))
-    e = e.coalesce(parts)
-    level = roots.select("type", F.col("root").alias("class")).distinct().coalesce(parts).checkpoint()
-    closure = level
-    persisted = []
-    for i in itertools.count(1):
-        nxt = (level.join(e, level["class"] == e["parent"])
-               .select("type", F.col("child").alias("class")).distinct()
-               .join(closure, on=["type", "class"], how="left_anti")).coalesce(parts)
-        # levels are cached; every third level both the level and the closure
-        # are written as reliable checkpoints, which keeps plans and lineage
-        # short (a plan references the closure twice per level)
-        if i % CLOSURE_CHECKPOINT_EVERY == 0:
-            level = nxt.checkpoint()
-        else:
-            level = nxt.persist()
-            persisted.append(level)
-        if level.isEmpty():
-            break
-        closure = closure.unionByName(level)
-        if i % CLOSURE_CHECKPOINT_EVERY == 0:
-            closure = closure.checkpoint()
-            for p in persisted:
-                p.unpersist()
-            persisted = []
-    closure = closure.checkpoint()
-    for p in persisted:
-        p.unpersist()
-    return closure
-
-
-CLOSURE_CHECKPOINT_EVERY = 3
-CLOSURE_EDGES_PER_PARTITION = 1_000_000
+    number = F.create_map(*[F.lit(x) for k, t in enumerate(types) for x in (t, 1 << k)])
+    at_root = (roots.where(F.col("type").isin(list(types)))
+               .select(F.col("root").alias("class"), F.element_at(number, F.col("type")).cast("long").alias("bits")))
+    jump = materialize(edges.where("child is not null and parent is not null and child != parent")
+                       .select(F.col("child").alias("class"), F.col("parent").alias("above")).distinct())
+    rows = jump.count()
+    parts = lambda n: max(1, -(-n // CLOSURE_ROWS_PER_PARTITION))
+    every = jump.select("class").union(jump.select("above")).union(at_root.select("class")).distinct()
+    bits = (every.join(at_root.groupBy("class").agg(F.bit_or("bits").alias("bits")), "class", "left")
+            .select("class", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
+    bits = materialize(bits.coalesce(parts(rows)))
+    while True:
+        got = (jump.join(bits.select(F.col("class").alias("above"), F.col("bits").alias("more")).where("more != 0"), "above")
+               .groupBy("class").agg(F.bit_or("more").alias("more")))
+        new = bits.join(got, "class", "left").select("class", F.col("bits").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("now"), "bits")
+        new = materialize(new.coalesce(parts(rows)))
+        moved = new.where("now != bits").limit(1).count()
+        bits = new.select("class", F.col("now").alias("bits"))
+        if not moved:
+            return bits.where("bits != 0")
+        further = jump.join(jump.select(F.col("class").alias("above"), F.col("above").alias("next")), "above")
+        jump = materialize(further.select("class", F.col("next").alias("above")).distinct().coalesce(parts(rows)))
+        rows = jump.count()
+
+
+def subclass_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(type, class) of every transitive subclass of each root (root included)."""
+    types = sorted(r.type for r in roots.select("type").distinct().collect())
+    out = []
+    for a in range(0, max(1, len(types)), TYPES_PER_SET):
+        some = types[a:a + TYPES_PER_SET]
+        named = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(t)) for k, t in enumerate(some)]),
+                         lambda t: t.isNotNull()) if some else F.array().cast("array<string>")
+        found = class_types(edges, roots, some) if some else roots.select(F.col("root").alias("class"), F.lit(0).cast("long").alias("bits"))
+        out.append(found.select(F.explode(named).alias("type"), "class"))
+    return functools.reduce(DataFrame.union, out)
 
 
 def filter_by_class(entities: DataFrame, closure: DataFrame, type_: str) -> DataFrame:
@@ -155,10 +160,13 @@ def dump_names(entities: DataFrame, closure: DataFrame, languages: Sequence[str]
     """Names of all typed entities; an entity of two types appears
     once per type. One join with (class, type) replaces one scan per type."""
     ents = filter_by_any_language(entities, languages) if languages else entities
-    typed = (ents.select("id", F.explode("instance_of").alias("class"))
-             .join(closure.select("class", "type"), on="class")
-             .select("id", "type").distinct())
-    names = explode_names(ents.join(typed, on="id"))
+    # an entity is one row from here on: its classes are set out, get their types and come together again, each
+    # task's own before anything moves, so that the entities are read and moved once
+    of_class = measured_side(closure.groupBy("class").agg(F.collect_set("type").alias("_types")))
+    rows = ents.select(F.struct("*").alias("_e"), F.monotonically_increasing_id().alias("_row"))
+    typed = (rows.select("_e", "_row", F.explode("_e.instance_of").alias("class")).join(of_class, "class").groupBy("_row")
+             .agg(F.first("_e").alias("_e"), F.array_distinct(F.flatten(F.collect_set("_types"))).alias("_types")))
+    names = explode_names(typed.select("_e.*", F.explode("_types").alias("type")))
     return filter_output_languages(names, include, exclude, strict)
 
 

@@ -28,20 +28,20 @@ def assert_no_null_language(names: DataFrame) -> DataFrame:
     return names.filter(F.col(LANG).isNull())
 
 
-def compare_languages(names: DataFrame, a: str, b: str) -> DataFrame:
-    """Per (id, type): eng, alias in a and b, url and equality flags
-    (false where a side is missing)."""
+def compare_languages(names: DataFrame, a: str, b: str, languages: Sequence[str] | None = None) -> DataFrame:
+    """Per (id, type): eng, the alias in every language (a column each), url and equality flags of ``a`` and
+    ``b`` (false where a side is missing). ``languages``: the columns; by default all languages of the names, which one
+    job lists."""
     from .clean import ENTITY_URL_PREFIX
-    g = (names.filter(F.col(LANG).isin(a, b))
-         .groupBy(ID, TYPE)
-         .agg(F.max(ENG).alias(ENG),
-              F.max(F.when(F.col(LANG) == a, F.col(ALIAS))).alias(a),
-              F.max(F.when(F.col(LANG) == b, F.col(ALIAS))).alias(b)))
-    return g.select(ID, TYPE, ENG, a, b,
+    if languages is None:
+        languages = sorted(r[0] for r in names.select(LANG).distinct().collect() if r[0] is not None)
+    columns = [*languages, *(x for x in (a, b) if x not in languages)]
+    g = names.groupBy(ID, TYPE).agg(F.max(ENG).alias(ENG), *[F.max(F.when(F.col(LANG) == x, F.col(ALIAS))).alias(x) for x in columns])
+    return g.select(ID, TYPE, ENG, *[F.col(f"`{x}`") for x in columns],
                     F.concat(F.lit(ENTITY_URL_PREFIX), F.col(ID)).alias("url"),
-                    F.coalesce(F.col(a) == F.col(ENG), F.lit(False)).alias(f"{a}_is_eng"),
-                    F.coalesce(F.col(b) == F.col(ENG), F.lit(False)).alias(f"{b}_is_eng"),
-                    F.coalesce(F.col(a) == F.col(b), F.lit(False)).alias(f"{a}_is_{b}"))
+                    F.coalesce(F.col(f"`{a}`") == F.col(ENG), F.lit(False)).alias(f"{a}_is_eng"),
+                    F.coalesce(F.col(f"`{b}`") == F.col(ENG), F.lit(False)).alias(f"{b}_is_eng"),
+                    F.coalesce(F.col(f"`{a}`") == F.col(f"`{b}`"), F.lit(False)).alias(f"{a}_is_{b}"))
 
 
 def type_counts_wide(counts: DataFrame, top: int | None = None,

@@ -168,3 +168,14 @@ def extreme_examples(df: DataFrame, col: str, n: int = 30, chunk: int = 1000,
     d = d.withColumn("_hi", F.row_number().over(hi)).withColumn("_lo", F.row_number().over(lo))
     out = d.filter((F.col("_hi") <= n) | (F.col("_lo") <= n))
     return out.withColumn("extreme", F.when(F.col("_hi") <= n, "top").otherwise("bottom")).drop("_ok", "_hi", "_lo")
+
+
+#: The samplers by name; any other function ``(df, n, seed) -> df`` serves as well.
+SAMPLERS = {"balanced": lambda df, n, seed: sample_balanced(df, "language", n, seed), "empirical": sample_empirical,
+            "by_language": sample_by_language, "smoothed": lambda df, n, seed: sample_smoothed(df, n, seed=seed)}
+
+
+def sample(df: DataFrame, n: int, sampler="empirical", seed: int = DEFAULT_SEED, min_names: int = 0) -> DataFrame:
+    """n rows by a sampler's name or function (U5); languages with fewer than ``min_names`` sampled rows go (H5)."""
+    drawn = (SAMPLERS[sampler] if isinstance(sampler, str) else sampler)(df, n, seed)
+    return min_names_after_sampling(drawn, min_names) if min_names else drawn

@@ -115,8 +115,12 @@ def aggregate_votes(votes: Sequence[Column], method="majority_vote",
     raise ValueError(f"unknown vote method {method}")
 
 
+#: Distances of a name's histogram from its language's.
+MEASURES = {"jensen_shannon": S.jensen_shannon, "kullback_leibler": S.kullback_leibler}
+
+
 def tag_columns(hist: Column, block: Column, language: Column, expected: Column,
-                prototype: Column, critical: float = 0.1) -> dict:
+                prototype: Column, critical: float = 0.1, measure: str = "jensen_shannon") -> dict:
     """The five nullable-boolean tagger columns."""
     cjk_lang = language.rlike(CJK_LANGUAGE_PATTERN)
     keys = F.map_keys(hist)
@@ -124,7 +128,7 @@ def tag_columns(hist: Column, block: Column, language: Column, expected: Column,
     return {
         "incorrect_block": block != expected,
         "missing_block": ~F.array_contains(keys, expected),
-        "divergent": S.jensen_shannon(hist, prototype) >= critical,
+        "divergent": MEASURES[measure](hist, prototype) >= critical,
         "kana": F.when(cjk_lang, F.when(language == "ja", ~kana).otherwise(kana)),
         "cjk": F.when(cjk_lang, F.exists(keys, lambda k: k.startswith("CJK"))),
     }
@@ -132,7 +136,7 @@ def tag_columns(hist: Column, block: Column, language: Column, expected: Column,
 
 def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
               lang: str = LANG, alias: str = ALIAS, keep_votes: bool = False,
-              compat: bool = False, extra_taggers: dict | None = None) -> DataFrame:
+              compat: bool = False, extra_taggers: dict | None = None, measure: str = "jensen_shannon") -> DataFrame:
     """Names + ``anomalous`` from five per-language taggers.
 
     ``extra_taggers`` maps a name to a function ``DataFrame columns ->
@@ -141,7 +145,7 @@ def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
     stats = measured_side(language_stats(names, lang, alias))
     j = names.join(stats, on=lang, how="left")
     tags = tag_columns(F.col("_hist"), F.col("_block"), F.col(lang),
-                       F.col("expected_block"), F.col("prototype"), critical)
+                       F.col("expected_block"), F.col("prototype"), critical, measure)
     for name, fn in (extra_taggers or {}).items():
         tags[name] = fn(F.col(alias), F.col(lang))
     j = (j.withColumn("_seq", S.block_entries(F.col(alias)))
@@ -338,3 +342,13 @@ def evaluate_tagging(tagged: DataFrame, gold: DataFrame, keys: Sequence[str] = (
            F.sum((~pred & ~g).cast("long")).alias("tn")]
     from .common import with_global
     return with_global(j, lang, agg)
+
+
+def tagging_errors(tagged: DataFrame, gold: DataFrame, keys: Sequence[str] = (ID, LANG, ALIAS)) -> DataFrame:
+    """The rows that were missed (``missed``: anomalous but not tagged) or tagged for no reason (``false_alarm``:
+    not anomalous but tagged; noise samples are left out), with all columns of ``tagged``."""
+    j = tagged.join(gold.select(*keys, "gold_anomalous"), on=list(keys), how="inner")
+    pred, g = F.col("anomalous"), F.col("gold_anomalous")
+    noise = F.coalesce(F.col("noise_sample"), F.lit(False)) if "noise_sample" in tagged.columns else F.lit(False)
+    kind = F.when(g & ~pred, "missed").when(~g & pred & ~noise, "false_alarm")
+    return j.withColumn("error", kind).where("error IS NOT NULL").select(*tagged.columns, "error")

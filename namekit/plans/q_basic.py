@@ -361,13 +361,13 @@ def q_i2(spark, d):
 
 
 @register("i3_compare_languages", O.with_names() + """
-SELECT wikidata_id, type, eng, en, fr,
+SELECT wikidata_id, type, eng, de, en, es, fr,
        'https://www.wikidata.org/wiki/' || wikidata_id AS url,
        coalesce(en = eng, false) AS en_is_eng, coalesce(fr = eng, false) AS fr_is_eng, coalesce(en = fr, false) AS en_is_fr
 FROM (SELECT wikidata_id, type, max(eng) AS eng,
-             max(CASE WHEN language = 'en' THEN alias END) AS en,
-             max(CASE WHEN language = 'fr' THEN alias END) AS fr
-      FROM names WHERE language IN ('en', 'fr') GROUP BY wikidata_id, type)""")
+             max(CASE WHEN language = 'de' THEN alias END) AS de, max(CASE WHEN language = 'en' THEN alias END) AS en,
+             max(CASE WHEN language = 'es' THEN alias END) AS es, max(CASE WHEN language = 'fr' THEN alias END) AS fr
+      FROM names GROUP BY wikidata_id, type)""")
 def q_i3(spark, d):
     return I.compare_languages(_names(spark, d), "en", "fr")
 

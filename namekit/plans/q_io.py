@@ -49,6 +49,13 @@ def q_a8(spark, d):
     return spark.read.parquet(path).select(*IO.NAME_COLUMNS)
 
 
+@register("a8_write_language_folders", O.with_names() + f"SELECT {NAMES5} FROM names WHERE language IN ('en', 'fr')")
+def q_a8_folders(spark, d):
+    path = IO.scratch_path(spark, "language-folders")
+    IO.write_by_language(T.names(spark, d), path, use_subfolders=True)
+    return spark.read.parquet(f"{path}/en", f"{path}/fr").select(*IO.NAME_COLUMNS)
+
+
 @register("a18_write_by_language_and_type", O.with_names() +
           "SELECT language, type, count(*) AS n FROM names GROUP BY language, type")
 def q_a18(spark, d):
@@ -95,11 +102,11 @@ SELECT trim(translate(substr(src, 1, CASE WHEN substr(src, 6, 1) = '>' THEN 5 EL
 @register("a11_parse_tagged_outputs", _a11_sql())
 def q_a11(spark, d):
     base = IO.scratch_path(spark, "tagged")
-    o = _outputs(spark, d).withColumn("_k", F.md5(F.concat_ws("|", "source", "hypothesis")))
-    o = o.repartitionByRange(4, "_k").sortWithinPartitions("_k").cache()
+    from ..operators.common import materialize
+    # one order over all columns, so that all three files have it, whichever task writes a row: ties are equal rows
+    o = materialize(_outputs(spark, d)).orderBy("source", "hypothesis", "reference")
     for col, name in (("hypothesis", "hyp"), ("reference", "ref"), ("source", "src")):
         o.select(F.regexp_replace(col, "[\\r\\n]", " ").alias("value")).write.mode("overwrite").text(f"{base}/{name}")
-    o.unpersist()
     return IO.parse_tagged_outputs(spark, f"{base}/hyp", f"{base}/ref", f"{base}/src")
 
 
@@ -172,13 +179,13 @@ def q_a17(spark, d):
 @register("s2_stream_language_counts", O.with_names() + """
 SELECT language, type, count(*) AS count FROM names WHERE length(language) > 0 GROUP BY language, type""")
 def q_s2(spark, d):
-    from ..streaming.stream import stream_language_counts
+    from ..streaming.stream import current_counts, stream_language_counts
     base = IO.scratch_path(spark, "stream-counts")
     # the source folder receives the names as several JSON shards
     T.names(spark, d).repartition(4).write.mode("overwrite").json(f"{base}/in")
     q = stream_language_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return current_counts(spark, f"{base}/out")
 
 
 def _s1_sql():
@@ -196,3 +203,21 @@ def q_s1(spark, d):
     q.awaitTermination()
     ents = current_entities(spark, f"{base}/log")
     return ents.select("id", "name", F.array_join(F.array_sort("instance_of"), ",").alias("instance_of"))
+
+
+def _s1_names_sql():
+    from .q_kb import DUMP_NAMES_SQL, _sql
+    return _sql(DUMP_NAMES_SQL + "SELECT * FROM dnames")
+
+
+@register("s1_stream_names", _s1_names_sql())
+def q_s1_names(spark, d):
+    from ..operators import kb as B
+    from ..sources.dump import build_dump_lines, class_edges, type_roots
+    from ..streaming.stream import compact_entities, current_names, stream_entities
+    base = IO.scratch_path(spark, "stream-names")
+    build_dump_lines(spark, d).repartition(4).write.mode("overwrite").text(f"{base}/in")
+    closure = B.subclass_closure(class_edges(spark, d), type_roots(spark))
+    stream_entities(spark, f"{base}/in", f"{base}/table", f"{base}/ckpt", closure=closure).awaitTermination()
+    compact_entities(spark, f"{base}/table")
+    return current_names(spark, f"{base}/table")

@@ -301,6 +301,18 @@ def q_d25(spark, d):
     return D.evaluate_tagging(tagged, gold, keys=["doc_id", "line_no", "language"])
 
 
+@register("d25_tagging_errors", O.with_names(*TAG_CTES) + """
+, g AS (SELECT v.doc_id, v.line_no, v.language, v.alias, v1 + v2 + v3 + v4 + v5 > 0 AS pred, l.quality = 0 AS gold
+        FROM votes v JOIN labels l ON l.doc_id = v.doc_id)
+SELECT doc_id, line_no, language, alias, CASE WHEN gold THEN 'missed' ELSE 'false_alarm' END AS error FROM g WHERE gold <> pred""")
+def q_d25_errors(spark, d):
+    pos = _pos(spark, d)
+    gold = (T.table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("gold_anomalous"))
+            .join(pos.select("doc_id", "line_no", "language"), "doc_id"))
+    errors = D.tagging_errors(D.tag_names(pos), gold, keys=["doc_id", "line_no", "language"])
+    return errors.select("doc_id", "line_no", "language", "alias", "error")
+
+
 @register("d13_vote_methods", O.with_names(*TAG_CTES) + """
 SELECT doc_id, line_no,
        v1 + v2 + v3 + v4 + v5 > 0 AS majority_vote,

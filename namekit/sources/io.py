@@ -139,13 +139,38 @@ def write_projected(df: DataFrame, path: str, columns: Sequence[str], fmt: str =
     write_names(df.select(*columns), path, fmt)
 
 
-def write_by_language(df: DataFrame, path: str, fmt: str = "parquet", lang: str = "language") -> None:
-    """One output folder per language (``language=xx``)."""
-    w = df.hint("rebalance", lang).write.mode("overwrite").partitionBy(lang)
-    if fmt in ("csv", "tsv"):
-        w.options(**_csv_options(fmt)).csv(path)
-    else:
-        w.format(fmt).save(path)
+def write_by_language(df: DataFrame, path: str, fmt: str = "parquet", lang: str = "language",
+                      use_subfolders: bool | None = None) -> None:
+    """The rows of each language apart, a large language in several files of even size.
+
+    By default partition folders ``language=en``, which Spark reads back as one table. With ``use_subfolders`` True a folder
+    ``<path>/en`` for each language, False ``<path>_en`` beside it (before the suffix, if any); the language then stays a
+    column of the files. Those are written as partition folders first and moved, one rename a language."""
+    def save(w, target: str) -> None:
+        if fmt in ("csv", "tsv"):
+            w.options(**_csv_options(fmt)).csv(target)
+        else:
+            w.format(fmt).save(target)
+    if use_subfolders is None:
+        save(df.hint("rebalance", lang).write.mode("overwrite").partitionBy(lang), path)
+        return
+    suffix = PurePath(path).suffix
+    root = path.removesuffix(suffix)
+    staged = f"{root}.staged"
+    save(df.withColumn("_part", F.col(lang)).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part"), staged)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    if use_subfolders:
+        fs.mkdirs(place(path))
+    for entry in fs.listStatus(place(staged)):
+        name = entry.getPath().getName()
+        if name.startswith("_part="):
+            code = name.removeprefix("_part=")
+            target = place(f"{path}/{code}" if use_subfolders else f"{root}_{code}{suffix}")
+            fs.delete(target, True)
+            fs.rename(entry.getPath(), target)
+    fs.delete(place(staged), True)
 
 
 def write_by_language_and_type(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -85,14 +85,14 @@ def test_html_tables(spark):
 
 
 def test_stream_counts_equal_batch(spark):
-    from namekit.streaming.stream import stream_language_counts
+    from namekit.streaming.stream import current_counts, stream_language_counts
     base = _tmp()
     df = spark.createDataFrame([(f"Q{i}", "e", f"a{i}", ["en", "fr"][i % 2], ["PER", "LOC"][i % 3 % 2])
                                 for i in range(50)], NAMES)
     df.repartition(3).write.json(f"{base}/in")
     q = stream_language_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ck")
     q.awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(f"{base}/out").collect()))
+    got = sorted(map(tuple, current_counts(spark, f"{base}/out").collect()))
     exp = sorted(map(tuple, df.groupBy("language", "type").count().collect()))
     assert got == exp
 
