@@ -21,10 +21,17 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(rows: DataFrame) -> DataFrame:
+#: Rows of a table of known size in each of its files.
+FILE_ROWS = 100_000
+
+
+def written(rows: DataFrame, n: int | None = None) -> DataFrame:
     """``rows``, computed once, as a Parquet table under ``spark.checkpoint.dir``. It cuts the
-    lineage like a checkpoint (which computes its last stage twice and is not compressed)."""
+    lineage like a checkpoint (which computes its last stage twice and is not compressed). ``n``: rows at most, where
+    that is known; they are then written by as many tasks as they need, not one for each shuffle partition."""
     spark = rows.sparkSession
+    if n is not None:
+        rows = rows.coalesce(max(1, -(-n // FILE_ROWS)))
     path = table_path(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
