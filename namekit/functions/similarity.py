@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distance import equal_minima
 from .script import _let, characters
 
 NUM_PERM = 128
@@ -47,8 +48,6 @@ def minhash_signature(text, num_perm: int = NUM_PERM) -> Column:
 
 
 def minhash_jaccard(a, b, num_perm: int = NUM_PERM) -> Column:
-    """G1: share of equal MinHash signature positions (estimates G2); null if one of the texts is. The
-    permutations are one constant array; everything stays inside the row, without a Python worker."""
-    equal = _let(F.struct(minhash_signature(a, num_perm).alias("x"), minhash_signature(b, num_perm).alias("y")), lambda s: F.size(
-        F.filter(F.zip_with(s["x"], s["y"], lambda x, y: x == y), lambda same: same)))
-    return F.when(_c(a).isNotNull() & _c(b).isNotNull(), equal / num_perm)
+    """G1: share of equal MinHash signature positions (estimates G2); null if one of the texts is. A character's
+    values under all permutations are computed once for a batch of rows."""
+    return equal_minima(_c(a), _c(b), permutations(num_perm), PRIME) / num_perm
