@@ -181,8 +181,8 @@ SELECT language, type, count(*) AS count FROM names WHERE length(language) > 0 G
 def q_s2(spark, d):
     from ..streaming.stream import current_counts, stream_language_counts
     base = IO.scratch_path(spark, "stream-counts")
-    # the source folder receives the names as several JSON shards
-    T.names(spark, d).repartition(4).write.mode("overwrite").json(f"{base}/in")
+    # the source folder receives the names as JSON shards, as many as the rows' tasks
+    T.names(spark, d).write.mode("overwrite").json(f"{base}/in")
     q = stream_language_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return current_counts(spark, f"{base}/out")
@@ -198,7 +198,7 @@ def q_s1(spark, d):
     from ..sources.dump import build_dump_lines
     from ..streaming.stream import current_entities, stream_entities
     base = IO.scratch_path(spark, "stream-entities")
-    build_dump_lines(spark, d).repartition(4).write.mode("overwrite").text(f"{base}/in")
+    build_dump_lines(spark, d).write.mode("overwrite").text(f"{base}/in")
     q = stream_entities(spark, f"{base}/in", f"{base}/log", f"{base}/ckpt")
     q.awaitTermination()
     ents = current_entities(spark, f"{base}/log")
@@ -216,7 +216,7 @@ def q_s1_names(spark, d):
     from ..sources.dump import build_dump_lines, class_edges, type_roots
     from ..streaming.stream import compact_entities, current_names, stream_entities
     base = IO.scratch_path(spark, "stream-names")
-    build_dump_lines(spark, d).repartition(4).write.mode("overwrite").text(f"{base}/in")
+    build_dump_lines(spark, d).write.mode("overwrite").text(f"{base}/in")
     closure = B.subclass_closure(class_edges(spark, d), type_roots(spark))
     stream_entities(spark, f"{base}/in", f"{base}/table", f"{base}/ckpt", closure=closure).awaitTermination()
     compact_entities(spark, f"{base}/table")
