@@ -12,15 +12,13 @@ Equal word sequences are one node from the start, whatever their number. In a bu
 all nodes meet one hub, so candidates grow with the rows and not with the square of a group. Every node
 is tried with the hub that it shares most buckets with. The buckets that still hold several classes are then compared
 in full by longer signatures, inside the task that holds a bucket, which
-puts out no more candidates than it needs to connect the classes that agreeing texts connect. These candidates
+puts out no more candidates than it needs to connect the texts that agree. These candidates
 make groups; one task takes the whole texts of a group once, verifies every agreeing pair whose
 classes are not yet one, and puts out only the links that join classes. So what leaves a task grows with its
 nodes, however many pairs of a family are close.
 
-Nodes of buckets too large for that first go to buckets of two bands together, where all nodes meet hubs of other
-classes, in rounds. A hub that all others of its bucket have tried leaves it, so that no pair of a bucket is tried
-twice; a bucket goes on with its next hubs while a round has changed the class of one of its nodes. What then is
-still too large is split by every later band, and again; what no band is left to split is compared block by block.
+Buckets too large for one task are compared in full as well, block by block: every two blocks meet in a task. So the
+classes do not depend on a bucket's size or on the size of a block.
 Candidates whose registers agree too rarely by both signatures (over four standard errors below the threshold) go, the
 others are verified on their whole texts: probability Jaccard or plain Jaccard of 0.8 or more. Classes
 are the connected components of the verified links.
@@ -50,12 +48,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: After the first round buckets are of two bands, that follow each other by these numbers: texts of
-#: similarity 0.8 share over ten of these 100 buckets on average, of 0.5 a tenth of one.
-PAIRED = (1, 2, 3, 4)
-#: Hubs of a bucket in a round after the first.
-HUBS = 3
-#: A bucket of so many nodes at most is compared in full.
+#: A bucket of so many nodes at most is compared by one task; larger ones are dealt into blocks of so many.
 FULL_NODES = 4_096
 #: Texts that candidates connect are decided by one task if there are at most so many, of so many bytes; more are
 #: dealt into blocks, of which every two meet in a task.
@@ -205,10 +198,8 @@ def _bands(sigs: pa.Array) -> np.ndarray:
     return key
 
 
-def _band_keys(nodes: DataFrame, offsets: tuple[int, ...] = ()) -> DataFrame:
-    """(node, key, age, last, plain, same) for every band, or for every band together with each that follows it by an
-    offset; ``last`` is the number of the band. Keys of the second signature (``plain``) follow where they differ;
-    ``same`` keys are those of both."""
+def _band_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key, age) for every band. Keys of the second signature (``plain``) follow where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,17 +207,13 @@ def _band_keys(nodes: DataFrame, offsets: tuple[int, ...] = ()) -> DataFrame:
                 continue
             node, age = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             keys = [_bands(batch.column(1)), _bands(_plain(batch.column(1), batch.column(3)))]
-            if offsets:
-                keys = [np.concatenate([arrowtext.mix(key * _STEP + np.roll(key, -k, axis=1)) for k in offsets], axis=1) for key in keys]
             same = keys[0] == keys[1]
             for second, new in ((False, np.ones(same.shape, bool)), (True, ~same)):
-                row, band = np.nonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[row]), pa.array(keys[second][new].view(np.int64)), pa.array(age[row]),
-                     pa.array((band % BANDS).astype(np.int32)), pa.array(np.full(len(row), second)), pa.array(same[new])],
-                    names=["node", "key", "age", "last", "plain", "same"])
+                row, _ = np.nonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(keys[second][new].view(np.int64)), pa.array(age[row])],
+                                                 names=["node", "key", "age"])
 
-    return arrow_map(nodes.select("node", "sig", "id_key", "plain"), run, "node long, key long, age long, last int, plain boolean, same boolean")
+    return arrow_map(nodes.select("node", "sig", "id_key", "plain"), run, "node long, key long, age long")
 
 
 def _longer(texts: DataFrame) -> DataFrame:
@@ -246,7 +233,7 @@ def _longer(texts: DataFrame) -> DataFrame:
 
 
 def _company(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """``rows`` (node, key, last, plain) of the buckets that hold several classes, with class, n: the nodes of the
+    """``rows`` (node, key) of the buckets that hold several classes, with class, n: the nodes of the
     bucket, major: those of its largest class."""
     rows = written(rows.join(of, "node", "left").withColumn("class", F.coalesce("class", "node")), rows.count())
     sizes = (rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key")
@@ -305,24 +292,25 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
 
 def _compared(rows: DataFrame, longer: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different classes in one bucket of ``rows`` whose long signatures agree enough; of
-    these as many as connect all classes that such pairs connect, so no more than a bucket has classes."""
+    these as many as connect all nodes that such pairs connect, so fewer than a bucket (or two blocks) has nodes."""
     rows = _in_blocks(rows, F.ceil(F.col("n") / FULL_NODES))
     whole = (rows.select("key", "node", "class").distinct().join(longer, "node").select("key", "node", "class", "long", "long_plain")
-             .repartition("key").sortWithinPartitions("key"))
+             .repartition("key").sortWithinPartitions("key", "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in _by_key(batches):
             node, group = (bucket.column(c).to_numpy() for c in ("node", "class"))
-            which, root, size = np.unique(group, return_inverse=True, return_counts=True)
+            which, of_class, size = np.unique(group, return_inverse=True, return_counts=True)
             if len(which) < 2:
                 continue
-            agreed, pairs = _Agreed(bucket), []
+            agreed, pairs, root = _Agreed(bucket), [], np.arange(len(node))
             # all nodes but those of the largest class, which may be most, look for nodes of other classes
-            for i in np.flatnonzero(root != size.argmax()):
-                near = agreed(i, root != root[i])
-                for r, j in zip(*np.unique(root[near], return_index=True), strict=True):
-                    pairs.append((node[i], node[near[j]]))
-                    root[root == r] = root[i]
+            for i in np.flatnonzero(of_class != size.argmax()):
+                near = agreed(i, (of_class != of_class[i]) & (root != root[i]))
+                roots, first = np.unique(root[near], return_index=True)
+                pairs += [(node[i], node[near[j]]) for j in first]
+                if len(roots):
+                    root[np.isin(root, roots)] = root[i]
             if pairs:
                 both = np.array(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], names=["a", "b"])
@@ -365,31 +353,6 @@ def _decided(candidates: DataFrame, of: DataFrame, texts: DataFrame, longer: Dat
     return arrow_map(whole, run, "a long, b long").distinct()
 
 
-def _split(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, key, last, plain) of buckets that agree in one more band, any after the last one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, key, last = (batch.column(c).to_numpy() for c in range(3))
-            was = batch.column(3).to_numpy(zero_copy_only=False)
-            first, second = _bands(batch.column(4)), _bands(_plain(batch.column(4), batch.column(5)))
-            same = batch.column(6).to_numpy(zero_copy_only=False)
-            for j in range(1, BANDS):
-                # a key that both signatures share goes on with both
-                for plain, on in ((False, (last < j) & ~was), (True, (last < j) & (was | same & (first[:, j] != second[:, j])))):
-                    new = arrowtext.mix(key[on].view(np.uint64) * _STEP + (second if plain else first)[on, j])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[on]), pa.array(new.view(np.int64)), pa.array(np.full(on.sum(), j, np.int32)),
-                         pa.array(np.full(on.sum(), plain)), pa.array(~was[on] & same[on] & (first[on, j] == second[on, j]))],
-                        names=["node", "key", "last", "plain", "same"])
-
-    whole = (rows.select("node", "key", "last", F.col("plain").alias("was"), "same").join(nodes.select("node", "sig", "plain"), "node")
-             .select("node", "key", "last", "was", "sig", "plain", "same"))
-    return arrow_map(whole, run, "node long, key long, last int, plain boolean, same boolean")
-
-
 def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of the nodes in ``pairs``, so that a join moves these only."""
     ids = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), 2 * pairs.count())
@@ -487,32 +450,6 @@ def merged(of: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(first), of.count() + 2 * n)
 
 
-def _by_hubs(nodes: DataFrame, left: DataFrame, of: DataFrame, linked) -> DataFrame:
-    """(node, class) after rounds in which the nodes ``left`` meet hubs of their buckets of two bands together."""
-    open_ = (_band_keys(nodes.join(left, "node", "left_semi"), PAIRED)
-             .withColumn("was", F.lit(None).cast("long")).withColumn("tried", F.lit(False)))
-    open_, turn, hubs = written(open_), 0, [f"hub{j}" for j in range(HUBS)]
-    while True:
-        # every bucket of several classes that the last round has changed has hubs, which all its nodes of other classes try
-        orders = [F.xxhash64("node", F.lit(j)) if j else F.col("age") for j in range(turn * HUBS, (turn + 1) * HUBS)]
-        mixed = open_.join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        rest = F.when(~F.col("tried"), F.struct("node", "class"))
-        new = (mixed.groupBy("key")
-               .agg(F.min(rest["class"]).alias("least"), F.max(rest["class"]).alias("most"),
-                    F.max(F.coalesce(F.col("class") != F.col("was"), F.lit(True))).alias("moved"),
-                    *[F.min_by(rest, F.when(~F.col("tried"), o)).alias(h) for h, o in zip(hubs, orders, strict=True)])
-               .where("least != most and moved").select("key", *hubs))
-        mixed = written(mixed.where("not tried").select("node", "key", "age", "class").join(new, "key"))
-        tries = [mixed.where(f"class != {h}.class").select(F.least("node", f"{h}.node").alias("a"), F.greatest("node", f"{h}.node").alias("b"))
-                 for h in hubs]
-        links = linked(functools.reduce(DataFrame.unionByName, tries).distinct())
-        if not links.limit(1).count():
-            return of
-        open_ = mixed.select("node", "key", "age", F.col("class").alias("was"),
-                             F.expr(" or ".join(f"node = {h}.node" for h in hubs)).alias("tried"))
-        of, turn = merged(of, links), turn + 1
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, id_key, text_key, n_words, node, class (the least node of its class; nodes
     are equal word sequences, null without words)."""
@@ -526,7 +463,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a bucket's first hub has the least id: an original is closer to its copies than they are to each other
     hubs = written(keys.groupBy("key").agg(F.min_by("node", "age").alias("hub"), F.count("*").alias("n"))
                    .where("n > 1").select("key", "hub"), BANDS * n)
-    active = written(keys.join(hubs, "key").select("node", "key", "age", "last", "plain", "same", "hub"), 2 * BANDS * n)
+    active = written(keys.join(hubs, "key").select("node", "key", "hub"), 2 * BANDS * n)
     # whole texts of the nodes that have company in a bucket, one row's for each node
     wanted = written(active.select("node").distinct().join(nodes.select("node", "id_key", "text_key"), "node"), n)
     found = wanted.select("node", F.col("id_key").alias("want_id"), F.col("text_key").alias("want_text"))
@@ -541,26 +478,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # first a node tries the hub that it shares most buckets with
     shared = active.where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    of = components(linked(shared.groupBy("b").agg(F.max_by("a", "n").alias("a")).select("a", "b")))
-    # buckets too large for full comparison that hold several classes: their nodes go to smaller ones, of two bands together
-    rest = _company(active.select("node", "key", "last", "plain", "same"), of)
-    left = written(rest.where(F.col("n") > FULL_NODES).select("node").distinct(), n)
-    if left.limit(1).count():
-        of = _by_hubs(nodes, left, of, linked)
-        rest = _company(active.select("node", "key", "last", "plain", "same"), of)
-    # what is left in several classes is compared in full, in buckets split as far as that needs
-    longer = None
-    while rest.limit(1).count():
-        # a bucket that no band is left to split is compared in full whatever its size, block by block
-        rest = rest.withColumn("done", (F.col("n") <= FULL_NODES) | (F.col("last") >= BANDS - 1))
-        if longer is None:
-            longer = written(_longer(texts.join(rest.select("node").distinct(), "node", "left_semi")))
-        near = written(_compared(rest.where("done"), longer))
+    of = components(linked(shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")))
+    # what is left in several classes is compared in full
+    rest = _company(active.select("node", "key"), of)
+    if rest.limit(1).count():
+        longer = written(_longer(texts.join(rest.select("node").distinct(), "node", "left_semi")))
+        near = written(_compared(rest, longer))
         if near.limit(1).count():
             links = written(_decided(near, of, texts, longer))
             if links.limit(1).count():
                 of = merged(of, links)
-        rest = _company(written(_split(rest.where("not done"), nodes)), of)
     member = nodes.select("node", "d1", "d2").join(of, "node", "left").select("node", "d1", "d2", F.coalesce("class", "node").alias("class"))
     return written(rows.select("doc_id", "id_key", "text_key", "n_words", "d1", "d2")
                    .withColumn("d1", F.when(F.col("n_words") > 0, F.col("d1"))).join(member, ["d1", "d2"], "left")

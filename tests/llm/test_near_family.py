@@ -92,3 +92,29 @@ def test_one_bucket_puts_out_links_not_pairs(spark, n, monkeypatch):
         assert len(links) < n * -(-n // group)
         classes = lambda r: {frozenset(i for i in range(n) if r[i] == c) for c in set(r)}
         assert classes(got) == classes(root)
+
+
+def test_classes_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
+    """Each pair shares registers of one band at most with the rest of its family, in buckets of any size."""
+    rows, _ = families(3, 60, seed=11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for nodes in (4096, 4):
+        monkeypatch.setattr(probminhash, "FULL_NODES", nodes)
+        got.append(sorted(map(tuple, probminhash.near_duplicates(df).collect())))
+    assert got[0] == got[1]
+
+
+def test_a_refused_candidate_hides_no_other(spark, monkeypatch):
+    """Two classes of two texts in a bucket: the first candidate is no link, another one is."""
+    words = [f"w{k}" for k in range(300)]
+    text = lambda *at: " ".join(f"x{k}y{i}" if i in at else w for i, w in enumerate(words) for k in [len(at)])
+    texts = {1: text(20, 60, 100, 140, 180), 2: text(20), 3: text(220, 240, 260, 280, 290), 4: text(60)}
+    frame = spark.createDataFrame(sorted(texts.items()), "node long, text string")
+    classes = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, class long")
+    rows = classes.selectExpr("node", "7L AS key", "class", "4L AS n", "2L AS major")
+    longer = probminhash._longer(frame).cache()
+    monkeypatch.setattr(probminhash, "LEAST_HEAD", 0.1)
+    monkeypatch.setattr(probminhash, "LEAST_LONG", 0.1)
+    links = probminhash._decided(probminhash._compared(rows, longer), classes, frame, longer).collect()
+    assert len(links) == 1
