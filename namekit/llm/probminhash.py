@@ -30,7 +30,6 @@ least doc_id (null if all are null).
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
