@@ -7,14 +7,22 @@ grouped aggregate; ``metrics_by_language`` computes all languages and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.distance import list_distance, text_distance
 from ..functions.text import tokens
+from ..session import ship_package
 from .common import with_global
 
 LANG, REF, HYP = "language", "reference", "hypothesis"
+#: Tokens that are counted together.
+TOKENS = 1 << 20
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -78,7 +86,8 @@ def clipped_matches(hyp: Column, ref: Column) -> Column:
 
 def bleu_row_stats(ref, hyp) -> Column:
     """Struct of per-row BLEU sufficient statistics: clipped n-gram matches c1..c4, hypothesis n-gram totals
-    t1..t4 and lengths, all inside the row, so that no n-gram is moved; the corpus statistics are plain sums."""
+    t1..t4 and lengths, all inside the row, so that no n-gram is moved; the corpus statistics are plain sums. The
+    form for single rows; ``bleu_stats`` counts the same for a batch of rows at a time."""
     from ..functions.script import _let
 
     def stats(p):
@@ -97,11 +106,55 @@ def bleu_row_stats(ref, hyp) -> Column:
 _BLEU_SUMS = [f"{k}{n}" for n in range(1, 5) for k in ("c", "t")] + ["hyp_len", "ref_len"]
 
 
+def _batch_counts(ref: pa.Array, hyp: pa.Array) -> list[np.ndarray]:
+    """``_BLEU_SUMS`` of every row of two columns of token lists. An n-gram's number stands for its row and its words:
+    it comes from the number of the (n-1)-gram before its last token, and of that token. Only n-grams of both sides
+    are made longer."""
+    size = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (hyp, ref)]
+    rows, lengths = len(hyp), np.concatenate(size)
+    words = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode()
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(row))  # tokens from here to the end of the text
+    is_hyp = np.arange(len(row)) < size[0].sum()
+    numbers, first = np.unique(row * (len(words.dictionary) + 1) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    at, gram, out = np.arange(len(row)), first, []
+    for n in range(1, 5):
+        if n > 1:
+            go = (both[gram] > 0) & (left[at] >= n)
+            at = at[go]
+            gram = np.unique(gram[go] * len(numbers) + first[at + n - 1], return_inverse=True)[1]
+        h = is_hyp[at]
+        k = int(gram.max(initial=-1)) + 1
+        both = np.minimum(np.bincount(gram[h], minlength=k), np.bincount(gram[~h], minlength=k))
+        owner = np.zeros(k, np.int64)
+        owner[gram] = row[at]
+        out += [np.bincount(owner, both, rows).astype(np.int64), np.maximum(size[0] - n + 1, 0)]
+    return out + size
+
+
+def _batch_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of keys, reference and hypothesis tokens -> keys and ``_BLEU_SUMS``, some ``TOKENS`` at a time."""
+    for batch in batches:
+        ref, hyp = batch.columns[-2:]
+        ends = np.cumsum(sum(x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp)))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, "right")))
+            counts = _batch_counts(ref.slice(a, b - a), hyp.slice(a, b - a))
+            keys = [c.slice(a, b - a) for c in batch.columns[:-2]]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, counts)], names=[*batch.schema.names[:-2], *_BLEU_SUMS])
+            a = b
+
+
 def bleu_stats(outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per group: summed clipped matches c1..c4, totals t1..t4 and lengths."""
+    """Per group: summed clipped matches c1..c4, totals t1..t4 and lengths. N-grams are counted inside the tasks, a
+    batch of rows at a time, and not moved; the work grows with the tokens."""
     keys = keys or []
-    rs = outputs.select(*keys, bleu_row_stats(REF, HYP).alias("s"))
-    return rs.groupBy(*keys).agg(*[F.sum(f"s.{c}").alias(c) for c in _BLEU_SUMS])
+    ship_package(outputs.sparkSession)
+    toks = lambda c: F.coalesce(tokens(_c(c)), F.array().cast("array<string>"))
+    rows = outputs.select(*keys, toks(REF).alias("_r"), toks(HYP).alias("_h"))
+    schema = T.StructType([*rows.schema.fields[:-2], *[T.StructField(c, T.LongType()) for c in _BLEU_SUMS]])
+    return rows.mapInArrow(_batch_stats, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _BLEU_SUMS])
 
 
 def bleu_from_stats(sums: DataFrame, keys: list[str] | None = None, max_n: int = 4) -> DataFrame:

@@ -87,3 +87,31 @@ def test_stream_shards_follow_the_rows(spark, tmp_path, monkeypatch):
     with pytest.raises(KeyError):
         q_io.q_s2(spark, "")
     assert len(glob.glob(seen[0] + "/*.json")) == 9
+
+
+def test_bleu_sums_in_batches(spark, monkeypatch):
+    """K4's sums are those of its rows, also of long texts that repeat many words, whose n-grams were copied once for
+    every place before."""
+    import time
+    rng = random.Random(5)
+    text = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, text(rng.randrange(25), "abcde"), text(rng.randrange(25), "abcdef")) for k in ("x", "y", None) for _ in range(80)]
+    rows += [("x", None, "a b"), ("x", "a", None), ("z", "", " "), ("y", "a a a a a a", "a a a"), ("y", "a b c d", "a b c d")]
+    df = spark.createDataFrame(rows, "language string, reference string, hypothesis string")
+    single = df.select("language", K.bleu_row_stats("reference", "hypothesis").alias("s")).groupBy("language").agg(
+        *[F.sum(f"s.{c}").alias(c) for c in K._BLEU_SUMS])
+    assert sorted(map(str, K.bleu_stats(df, ["language"]).collect())) == sorted(map(str, single.collect()))
+    assert K.bleu_stats(df).first().ref_len == sum(len((r or "").split()) for _, r, _ in rows)
+    assert K.bleu_stats(df.limit(0), ["language"]).count() == 0
+    import pyarrow as pa
+    cut = [[(r or "").split(), (h or "").split()] for _, r, h in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in cut], pa.list_(pa.string())) for i in (0, 1)], names=["r", "h"])
+    whole = pa.Table.from_batches(K._batch_stats(iter([batch])))
+    monkeypatch.setattr(K, "TOKENS", 7)
+    parts = pa.Table.from_batches(K._batch_stats(iter([batch])))
+    assert parts.num_rows == len(rows) and parts.combine_chunks().equals(whole.combine_chunks())
+    words = [f"w{i}" for i in range(4000)]
+    long = spark.createDataFrame([("x", text(30000, words), text(30000, words))], "language string, reference string, hypothesis string")
+    start = time.time()
+    got = K.bleu_stats(long, ["language"]).first()
+    assert got.t4 == 29997 and got.c1 > 20000 and time.time() - start < 5
