@@ -102,12 +102,8 @@ SELECT trim(translate(substr(src, 1, CASE WHEN substr(src, 6, 1) = '>' THEN 5 EL
 @register("a11_parse_tagged_outputs", _a11_sql())
 def q_a11(spark, d):
     base = IO.scratch_path(spark, "tagged")
-    from ..operators.common import materialize
-    # one order over all columns, so that all three files have it, whichever task writes a row: ties are equal rows
-    o = materialize(_outputs(spark, d)).orderBy("source", "hypothesis", "reference")
-    for col, name in (("hypothesis", "hyp"), ("reference", "ref"), ("source", "src")):
-        o.select(F.regexp_replace(col, "[\\r\\n]", " ").alias("value")).write.mode("overwrite").text(f"{base}/{name}")
-    return IO.parse_tagged_outputs(spark, f"{base}/hyp", f"{base}/ref", f"{base}/src")
+    IO.write_parallel_lines(_outputs(spark, d), base, ["hypothesis", "reference", "source"])
+    return IO.parse_tagged_outputs(spark, *(f"{base}/file={i}" for i in range(3)))
 
 
 @register("a12_parse_combined_outputs", O.with_names() + """

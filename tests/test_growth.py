@@ -89,6 +89,19 @@ def test_stream_shards_follow_the_rows(spark, tmp_path, monkeypatch):
     assert len(glob.glob(seen[0] + "/*.json")) == 9
 
 
+def test_parallel_lines_are_written_at_once(spark, tmp_path):
+    """A11's three files are written by one job whose rows are not moved; line k is the same row in each of them."""
+    from namekit.sources import io as IO
+    rows = [(f"h{i}\nx" if i % 7 else None, f"r{i % 5}", f"<en> {i}\r") for i in range(500)]
+    df = spark.createDataFrame(rows, "hypothesis string, reference string, source string").repartition(5)
+    IO.write_parallel_lines(df, f"{tmp_path}/o", ["hypothesis", "reference", "source"])
+    got = IO.parse_tagged_outputs(spark, *(f"{tmp_path}/o/file={i}" for i in range(3)))
+    want = [("en", f"r{i % 5}", f"h{i} x" if i % 7 else "", f"<en> {i}") for i in range(500)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    IO.write_parallel_lines(df.limit(0), f"{tmp_path}/e", ["hypothesis", "reference", "source"])
+    assert IO.parse_tagged_outputs(spark, *(f"{tmp_path}/e/file={i}" for i in range(3))).count() == 0
+
+
 def test_bleu_sums_in_batches(spark, monkeypatch):
     """K4's sums are those of its rows, also of long texts that repeat many words, whose n-grams were copied once for
     every place before."""
