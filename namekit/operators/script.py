@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import measured_side
 
 from ..functions import script as S
+from ..functions.text import unicode_strip
 
 ALIAS, LANG, TYPE, ID = "alias", "language", "type", "wikidata_id"
 
@@ -67,8 +68,12 @@ def language_stats(names: DataFrame, lang: str = LANG, alias: str = ALIAS) -> Da
     mode (kind 'e', count 1) and its prototype counts (kind 'p'); one grouped
     sum over (language, kind, block) yields both. Result: (language,
     expected_block, prototype), one row per language."""
-    strict_mode = S.strict_most_common_block(F.col(alias))
-    proto = S.block_count_entries(F.col(alias), strip=False, ignore_punctuation=True, ignore_numbers=True)
+    a = F.col(alias)
+    count = lambda strip: S.block_entries(a, strip=strip, ignore_punctuation=True, ignore_numbers=True)
+    # nearly no name has white space at its ends; where there is none, the prototype's counts are the strict ones, too
+    names = names.select(lang, alias, count(False).alias("_e"))
+    strict_mode = S.mode_of_entries(F.when(unicode_strip(a) == a, F.col("_e")).otherwise(count(True)))
+    proto = F.transform("_e", lambda e: F.struct(e["block"].alias("block"), e["n"].cast("long").alias("n")))
     items = F.concat(
         F.array(F.struct(F.lit("e").alias("kind"), strict_mode.alias("block"), F.lit(1).cast("long").alias("n"))),
         F.transform(proto, lambda e: F.struct(F.lit("p").alias("kind"), e["block"].alias("block"), e["n"].alias("n"))))
@@ -136,8 +141,10 @@ def tag_columns(hist: Column, block: Column, language: Column, expected: Column,
 
 def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
               lang: str = LANG, alias: str = ALIAS, keep_votes: bool = False,
-              compat: bool = False, extra_taggers: dict | None = None, measure: str = "jensen_shannon") -> DataFrame:
-    """Names + ``anomalous`` from five per-language taggers.
+              compat: bool = False, extra_taggers: dict | None = None, measure: str = "jensen_shannon",
+              keep_block: str | None = None) -> DataFrame:
+    """Names + ``anomalous`` from five per-language taggers (and the name's most common block as column
+    ``keep_block``).
 
     ``extra_taggers`` maps a name to a function ``DataFrame columns ->
     nullable boolean Column`` (custom tagger; null = abstain); ``method`` may
@@ -156,6 +163,8 @@ def tag_names(names: DataFrame, method="majority_vote", critical: float = 0.1,
     if keep_votes:
         for name, t in tags.items():
             out = out.withColumn(f"vote_{name}", _vote(t))
+    if keep_block:
+        out = out.withColumn(keep_block, F.col("_block"))
     return out.drop("_seq", "_hist", "_block", "expected_block", "prototype")
 
 

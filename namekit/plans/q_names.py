@@ -309,7 +309,7 @@ SELECT CASE WHEN v1 + v2 + v3 + v4 + v5 > 0 THEN 'anomalous' ELSE 'non_anomalous
 FROM votes v LEFT JOIN dmode dm ON dm.doc_id = v.doc_id AND dm.line_no = v.line_no""")
 def q_e10(spark, d):
     from ..operators import script as D
-    return E.anomaly_report(D.tag_names(T.names(spark, d)))
+    return E.anomaly_report(D.tag_names(T.names(spark, d), keep_block=E.BLOCK))
 
 
 @register("e13_edit_distance", "WITH RECURSIVE " + __import__("namekit.plans.q_kb", fromlist=["ENTS_SQL"]).ENTS_SQL.strip() + f"""

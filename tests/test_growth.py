@@ -102,6 +102,28 @@ def test_parallel_lines_are_written_at_once(spark, tmp_path):
     assert IO.parse_tagged_outputs(spark, *(f"{tmp_path}/e/file={i}" for i in range(3))).count() == 0
 
 
+def test_anomaly_report_tags_once(spark):
+    """E10's sort reads tagged rows; neither its sample nor its report counts a name's blocks again."""
+    from namekit.operators import names as E, script as D
+    rows = [("Q1", "a", "abc", "en", "PER"), ("Q2", "b", "日本", "en", "LOC"), ("Q3", "c", None, "en", "ORG"), ("Q4", "d", " x1 ", None, "ORG")] * 3
+    names = spark.createDataFrame(rows, "wikidata_id string, eng string, alias string, language string, type string")
+    plain = E.anomaly_report(D.tag_names(names))
+    kept = E.anomaly_report(D.tag_names(names, keep_block=E.BLOCK))
+    assert kept.columns == plain.columns and kept.collect() == plain.collect()
+    assert {(r.alias, r[E.BLOCK]) for r in kept.collect()} == {
+        ("abc", "BASIC_LATIN"), ("日本", "CJK_UNIFIED_IDEOGRAPHS"), (None, ""), (" x1 ", "SPACE")}
+    assert "transform" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_language_stats_strip_only_where_needed(spark):
+    """White space at the ends counts for the prototype (D6) and not for the expected block."""
+    from namekit.operators import script as D
+    df = spark.createDataFrame([("en", "  　　 　　ab"), ("en", "ab "), ("fr", "ab"), ("fr", None)], "language string, alias string")
+    got = {r.language: r for r in D.language_stats(df).collect()}
+    want = {r.language: r.prototype for r in D.language_prototype(df).collect()}
+    assert got["en"].expected_block == "BASIC_LATIN" and {k: got[k].prototype for k in got} == want
+
+
 def test_bleu_sums_in_batches(spark, monkeypatch):
     """K4's sums are those of its rows, also of long texts that repeat many words, whose n-grams were copied once for
     every place before."""
