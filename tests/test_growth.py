@@ -150,3 +150,11 @@ def test_bleu_sums_in_batches(spark, monkeypatch):
     start = time.time()
     got = K.bleu_stats(long, ["language"]).first()
     assert got.t4 == 29997 and got.c1 > 20000 and time.time() - start < 5
+
+
+def test_a_tagger_is_evaluated_once(spark):
+    """A vote (D13) is +1, -1 or 0 and uses its tagger's column once, not once for null and once for true."""
+    from namekit.operators import script as D
+    votes = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, b boolean").select("i", D._vote(F.col("b")).alias("v"))
+    assert sorted(map(tuple, votes.collect())) == [(1, 1), (2, -1), (3, 0)]
+    assert str(D._vote(F.reverse("b"))).count("reverse") == 1
