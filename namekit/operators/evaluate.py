@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.distance import list_distance, text_distance
+from ..functions.distance import list_distance, text_distance, word_error_rate
 from ..functions.text import tokens
 from ..session import ship_package
 from .common import with_global
@@ -59,8 +59,7 @@ def label_error_rate(ref, hyp, unit: str = "word") -> Column:
     r, h = _c(ref), _c(hyp)
     if unit == "char":
         return F.try_divide(text_distance(r, h).cast("double"), F.length(r))
-    rt, ht = tokens(r), tokens(h)
-    return F.try_divide(token_edit_distance(rt, ht).cast("double"), F.size(rt))
+    return word_error_rate(r, h)
 
 
 def _ngrams(toks: Column, n: int) -> Column:
@@ -146,15 +145,20 @@ def _batch_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
 
 
+def _text_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_batch_stats`` of texts, whose words are what white space separates, as in ``tokens``; a null text has none."""
+    words = lambda texts: pa.array([[] if x is None else x.split() for x in texts.to_pylist()], pa.list_(pa.string()))
+    return _batch_stats(pa.RecordBatch.from_arrays([*b.columns[:-2], *map(words, b.columns[-2:])], names=b.schema.names) for b in batches)
+
+
 def bleu_stats(outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per group: summed clipped matches c1..c4, totals t1..t4 and lengths. N-grams are counted inside the tasks, a
     batch of rows at a time, and not moved; the work grows with the tokens."""
     keys = keys or []
     ship_package(outputs.sparkSession)
-    toks = lambda c: F.coalesce(tokens(_c(c)), F.array().cast("array<string>"))
-    rows = outputs.select(*keys, toks(REF).alias("_r"), toks(HYP).alias("_h"))
+    rows = outputs.select(*keys, _c(REF).alias("_r"), _c(HYP).alias("_h"))
     schema = T.StructType([*rows.schema.fields[:-2], *[T.StructField(c, T.LongType()) for c in _BLEU_SUMS]])
-    return rows.mapInArrow(_batch_stats, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _BLEU_SUMS])
+    return rows.mapInArrow(_text_stats, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _BLEU_SUMS])
 
 
 def bleu_from_stats(sums: DataFrame, keys: list[str] | None = None, max_n: int = 4) -> DataFrame:
@@ -188,9 +192,8 @@ def metrics_by_language(outputs: DataFrame, digits: int = 5, with_ler: bool = Tr
            (100 * F.avg("_f1")).alias("mean_f1")]
     basic = with_global(row, LANG, agg)
     # BLEU sufficient statistics are additive: the global row sums the
-    # per-language ones instead of a second n-gram pass
-    sums = bleu_stats(outputs, [LANG])
-    sums = sums.unionByName(sums.agg(*[F.sum(c).alias(c) for c in _BLEU_SUMS]).withColumn(LANG, F.lit("global")))
+    # per-language ones, in one plan that counts n-grams once
+    sums = with_global(bleu_stats(outputs, [LANG]), LANG, [F.sum(c).alias(c) for c in _BLEU_SUMS])
     out = basic.join(bleu_from_stats(sums, [LANG]), on=LANG, how="left")
     r = lambda c: F.round(c, digits)
     return out.select(LANG, r(F.col("label_error_rate")).alias("label_error_rate"),

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from namekit.functions import distance as D
+from namekit.functions.text import tokens
+from namekit.operators import evaluate as K
 
 
 def brute(a, b):
@@ -27,3 +30,26 @@ def test_distances_of_many_pairs():
     m, n = (np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1))
     for kinds in ({}, {"table": 1}, {"block": 1, "fewest": 1}, {"most_words": 1}, {"block": 64, "fewest": 2}):
         assert D._bit_distances(**kinds)(a, m, b, n, 300).tolist() == want
+
+
+def test_word_error_rate(spark):
+    texts = [None, "", " ", "a", "a b", "b a", "a  b ", "　a\x1cb", "x y z " * 40, "z y x " * 41 + "q", "é 日本 é"]
+    rows = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(rows, "r string, h string")
+    plain = F.try_divide(D.list_distance(tokens("r"), tokens("h")).cast("double"), F.size(tokens("r")))
+    got = df.select("r", "h", plain.alias("x"), K.label_error_rate("r", "h").alias("y")).collect()
+    for r in got:
+        want = brute(r.r.split(), r.h.split()) / len(r.r.split()) if r.r and r.h is not None and r.r.split() else None
+        assert r.x == r.y == want
+
+
+def test_metrics_count_ngrams_once_and_words_are_not_split_by_patterns(spark):
+    """K5: the global row takes no second pass over the texts, and words go to Python as texts."""
+    rows = [("en", "a b, c", "c a b"), ("en", "x", "x"), ("de", None, "y"), ("de", "p q r s t", "p q r s"), (None, "u v", "u v")]
+    df = spark.createDataFrame(rows, "language string, reference string, hypothesis string")
+    out = K.metrics_by_language(df)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "split(" not in text
+    got = {r.language: tuple(r)[1:] for r in out.collect()}
+    assert got[None] == (0.0, 100.0, 0.0, 100.0, None)
+    assert got["de"][:2] == (0.2, 0.0) and got["global"][1] == 50.0 and got["global"][4] is not None
