@@ -209,11 +209,15 @@ def _s1_names_sql():
 @register("s1_stream_names", _s1_names_sql())
 def q_s1_names(spark, d):
     from ..operators import kb as B
+    from ..session import shuffles_freed
     from ..sources.dump import build_dump_lines, class_edges, type_roots
     from ..streaming.stream import compact_entities, current_names, stream_entities
     base = IO.scratch_path(spark, "stream-names")
-    build_dump_lines(spark, d).write.mode("overwrite").text(f"{base}/in")
-    closure = B.subclass_closure(class_edges(spark, d), type_roots(spark))
-    stream_entities(spark, f"{base}/in", f"{base}/table", f"{base}/ckpt", closure=closure).awaitTermination()
-    compact_entities(spark, f"{base}/table")
+    with shuffles_freed(spark):
+        # the shards are many times the tables as text
+        (build_dump_lines(spark, d).write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED")
+         .text(f"{base}/in", compression="gzip"))
+        closure = B.subclass_closure(class_edges(spark, d), type_roots(spark))
+        stream_entities(spark, f"{base}/in", f"{base}/table", f"{base}/ckpt", closure=closure).awaitTermination()
+        compact_entities(spark, f"{base}/table")
     return current_names(spark, f"{base}/table")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import kb as B
-from ..operators.common import measured_side
+from ..operators.common import materialize, measured_side
 from ..sources import dump as DU
 from .snapshots import read_manifest, remove, replace_manifest
 
@@ -29,21 +29,27 @@ NAME_SCHEMA = T.StructType([T.StructField(c, T.StringType())
 
 
 def _with_types(entities: DataFrame, closure: DataFrame | None) -> DataFrame:
-    """Entities with ``types``: those of their classes; empty without a class in the closure."""
+    """Entities with ``types``: those of their classes; empty without a class in the closure. ``_row``, if they have it,
+    numbers the rows of a table; else they are written to have one, as only their numbers go to the classes."""
     none = F.array().cast("array<string>")
     if closure is None:
         return entities.withColumn("types", none)
-    rows = entities.select(F.struct("*").alias("_e"), F.monotonically_increasing_id().alias("_row"))
+    rows = entities if "_row" in entities.columns else materialize(entities.withColumn("_row", F.monotonically_increasing_id()))
     of_class = measured_side(closure.groupBy("class").agg(F.collect_set("type").alias("_types")))
-    each = rows.select("_e", "_row", F.explode_outer("_e.instance_of").alias("class")).join(of_class, "class", "left")
-    typed = each.groupBy("_row").agg(F.first("_e").alias("_e"), F.array_distinct(F.flatten(F.collect_set("_types"))).alias("types"))
-    return typed.select("_e.*", F.coalesce("types", none).alias("types"))
+    each = rows.select("_row", F.explode("instance_of").alias("class")).join(of_class, "class")
+    types = each.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_set("_types"))).alias("types"))
+    fields = [c for c in rows.columns if c != "_row"]
+    return rows.join(types, "_row", "left").select(*fields, F.coalesce("types", none).alias("types"))
+
+
+def _ingested(state: dict, batch_id: int) -> bool:
+    return batch_id <= state.get("upto", -1) or batch_id in state.get("batches", [])
 
 
 def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> None:
     """Adds a batch of entities to the table under ``base``, unless it is already in it."""
     state = read_manifest(spark, base)
-    if batch_id <= state.get("upto", -1) or batch_id in state.get("batches", []):
+    if _ingested(state, batch_id):
         return
     path = f"{base}/batch-{batch_id}"
     batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(path)
@@ -59,7 +65,13 @@ def stream_entities(spark: SparkSession, src_dir: str, base: str, checkpoint: st
     simple = B.simplify_entities(ents)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(spark, _with_types(batch, closure), batch_id, base)
+        if closure is None or _ingested(read_manifest(spark, base), batch_id):
+            return ingest_batch(spark, _with_types(batch, closure), batch_id, base)
+        parsed = f"{base}/parsed-{batch_id}"
+        rows = batch.withColumn("_row", F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(parsed)
+        ingest_batch(spark, _with_types(spark.read.schema(rows.schema).parquet(parsed), closure), batch_id, base)
+        remove(spark, [parsed])
 
     w = simple.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -73,6 +85,8 @@ def _folders(base: str, state: dict) -> list[str]:
 
 def _latest(spark: SparkSession, base: str, state: dict) -> DataFrame:
     log = functools.reduce(DataFrame.unionByName, map(spark.read.parquet, _folders(base, state)))
+    if "snapshot" in state and not state.get("batches"):
+        return log  # compaction has left one row an id
     fields = [c for c in log.columns if c not in ("id", "_batch")]
     latest = log.groupBy("id").agg(F.max_by(F.struct(*fields), F.col("_batch")).alias("_r"), F.max("_batch").alias("_batch"))
     return latest.select("id", *[F.col(f"_r.{c}").alias(c) for c in fields], "_batch")
